@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import language_id, quality_pu, toxicity
+from quern.llm.common import fold
 from quern.llm.quality_rules import apply_rules
 
 QUERIES: dict = {}
@@ -55,3 +57,28 @@ FROM f JOIN b USING (host)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _judged(scored: DataFrame, parts: int, held: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query()
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_pu.train(docs, _table(spark, sf_dir, "labels"))
+    return _judged(quality_pu.score(docs, model), 4, 2, model.params.threshold)
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(docs, model), 3, 1, model.params.threshold)
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.train(docs))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
