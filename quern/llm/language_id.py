@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold
+from quern.llm.common import fold, staged
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
@@ -32,15 +32,15 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    per_language: int = 3000
+    per_language: int = 2000
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
-    most_entries: int = 200_000
+    most_entries: int = 60_000
     #: Added to counts, and taken off the log frequency for each step of back-off.
     smoothing: float = 0.5
     step_penalty: float = 0.4
     most_languages: int = 400
     #: Unseen words whose scores a task keeps.
-    cache: int = 200_000
+    cache: int = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -119,7 +119,7 @@ def train(docs: DataFrame, p: LanguageParams | None = None, parts: int = 4, held
                     yield pd.DataFrame({"lang": lang, "n": np.int32(n), "entry": list(table), "c": np.fromiter(table.values(), np.int64, len(table))})
 
     parts_of = sample.select("lang", "text").mapInPandas(count, "lang string, n int, entry string, c long")
-    counts = parts_of.groupBy("lang", "n", "entry").agg(F.sum("c").alias("c"))
+    counts = staged(parts_of.groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")), "language-counts")
     # an entry seen once says little; the bound holds the tables whatever the sample's texts are
     kept = counts.filter((F.col("c") > 1) | (F.col("n") == 1))
     tables: dict[int, dict[str, dict[str, int]]] = {}

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language_id, quality_pu, toxicity
+from quern.llm import decontaminate, language_id, packing, quality_pu, toxicity
 from quern.llm.common import fold
 from quern.llm.quality_rules import apply_rules
 
+#: Where the public tokenizers' files are; None asks the installed package.
+TOKENIZER_PATH: str | None = None
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    if TOKENIZER_PATH:
+        return TOKENIZER_PATH
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -82,3 +93,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.train(docs))
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.PackingParams(tokenizer_path()))
