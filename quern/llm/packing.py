@@ -12,10 +12,13 @@ empty table gives an empty result; special tokens' strings in a text are ordinar
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,44 +33,91 @@ class PackingParams:
     tokenizer: str
     capacity: int = 2048
     end_id: int = 0
-    #: Words whose ids a task keeps; the table is emptied beyond.
-    cache: int = 300_000
+    #: Words in each half of the table that a Python worker keeps.
+    cache: int = 250_000
     rows_per_bucket: int = 100_000
 
 
+#: Where a small letter is followed by a mark that isn't white space, the tokenizer's words end anyway.
+_MARK = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
+_PART = "\x01"
+
+
 class WordCoder:
-    """Ids of texts, word by word: the tokenizer never joins what ASCII white space parts, so words are coded once each."""
+    """Ids of texts, word by word: the tokenizer never joins what ASCII white space parts, so a word is coded once.
+
+    Words new to the table are coded in one string, parted by a control character that stands alone; its ids part the
+    result. The table has two halves: words used since the older half was dropped, and words of before.
+    """
 
     def __init__(self, path: str, most: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        part = self._ids(_PART)
+        self.part = int(part[0]) if len(part) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(self, text: str | None) -> list[bytes]:
+        """Small letters and parted marks give fewer different words; with combining marks near, letters keep their case,
+        for the tokenizer composes characters before it lowers them."""
+        raw = (text or "").encode("utf-8", "replace")
+        if b"\xcc" in raw or b"\xcd" in raw:
+            return raw.split()
+        return _MARK.sub(b" ", raw.lower()).split()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = []
+        for w in words.difference(self.known):
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            else:
+                new.append(w)
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(words)
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
+            self.older, self.known = self.known, {w: x for w in words if (x := self.known.get(w)) is not None}
+        if self.part is not None:
+            plain = [w for w in new if b"\x01" not in w]
+            for at in range(0, len(plain), 20_000):
+                own = plain[at : at + 20_000]
+                ids = self._ids(f" {_PART} ".join([w.decode("utf-8", "replace") for w in own]))
+                ends = np.flatnonzero(ids == self.part).tolist()
+                if len(ends) != len(own) - 1:
+                    raise ValueError("the tokenizer joins or drops a lone control character")
+                raw, last = ids.tobytes(), -1
+                for w, end in zip(own, [*ends, len(ids)], strict=True):
+                    self.known[w] = raw[4 * (last + 1) : 4 * end]
+                    last = end
+            new = [w for w in new if b"\x01" in w]
+        for w in new:
+            self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn(set().union(*split) if split else set())
+        split = [self.words(t) for t in texts]
+        self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(2)
+def _coder(path: str, most: int) -> WordCoder:
+    """One for each Python worker, kept from task to task."""
+    return WordCoder(path, most)
+
+
 def pieces(docs: DataFrame, p: PackingParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; a map over the rows."""
     most, end = p.capacity * 4, np.array([p.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordCoder(p.tokenizer, p.cache)
+        coder = _coder(p.tokenizer, p.cache)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
