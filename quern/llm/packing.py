@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,13 +42,25 @@ class PackingParams:
 #: Where a small letter is followed by a mark that isn't white space, the tokenizer's words end anyway.
 _MARK = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
 _PART = "\x01"
+#: Words that the tokenizer's normalizer leaves as they are and its splitter keeps whole: small Latin letters.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _visible() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible()
 
 
 class WordCoder:
     """Ids of texts, word by word: the tokenizer never joins what ASCII white space parts, so a word is coded once.
 
-    Words new to the table are coded in one string, parted by a control character that stands alone; its ids part the
-    result. The table has two halves: words used since the older half was dropped, and words of before.
+    New words of plain letters go to the tokenizer's model as they are; the others are coded in one string, parted by a
+    control character that stands alone, whose ids part the result. The table has two halves: words used since the older half was dropped, and words of before.
     """
 
     def __init__(self, path: str, most: int):
@@ -82,21 +95,26 @@ class WordCoder:
                 new.append(w)
         if len(self.known) + len(new) > self.most:
             self.older, self.known = self.known, {w: x for w in words if (x := self.known.get(w)) is not None}
-        if self.part is not None:
-            plain = [w for w in new if b"\x01" not in w]
-            for at in range(0, len(plain), 20_000):
-                own = plain[at : at + 20_000]
-                ids = self._ids(f" {_PART} ".join([w.decode("utf-8", "replace") for w in own]))
-                ends = np.flatnonzero(ids == self.part).tolist()
-                if len(ends) != len(own) - 1:
-                    raise ValueError("the tokenizer joins or drops a lone control character")
-                raw, last = ids.tobytes(), -1
-                for w, end in zip(own, [*ends, len(ids)], strict=True):
-                    self.known[w] = raw[4 * (last + 1) : 4 * end]
-                    last = end
-            new = [w for w in new if b"\x01" in w]
+        tokenize, rest = self.tokenizer.model.tokenize, []
         for w in new:
-            self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+            text = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text):
+                shown = text if len(text) == len(w) else w.decode("latin-1").translate(_VISIBLE)
+                self.known[w] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            elif self.part is None or _PART in text:
+                self.known[w] = self._ids(text).tobytes()
+            else:
+                rest.append((w, text))
+        for at in range(0, len(rest), 20_000):
+            own = rest[at : at + 20_000]
+            ids = self._ids(f" {_PART} ".join([text for _, text in own]))
+            ends = np.flatnonzero(ids == self.part).tolist()
+            if len(ends) != len(own) - 1:
+                raise ValueError("the tokenizer joins or drops a lone control character")
+            raw, last = ids.tobytes(), -1
+            for (w, _), end in zip(own, [*ends, len(ids)], strict=True):
+                self.known[w] = raw[4 * (last + 1) : 4 * end]
+                last = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
