@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language_id, packing, quality_pu, toxicity
+from quern.llm import decontaminate, language_id, packing, quality_pu, substring_dedup, toxicity, warc
 from quern.llm.common import fold
 from quern.llm.quality_rules import apply_rules
 
@@ -103,3 +103,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.PackingParams(tokenizer_path()))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT page_id, payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

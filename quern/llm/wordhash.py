@@ -28,7 +28,7 @@ class _Powers:
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            grow = lambda b: np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))).astype(np.uint64))
+            grow = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64)
             self.up, self.down = grow(self.base), grow(self.inverse)
         return self.up[:n], self.down[:n]
 
