@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language_id, packing, quality_pu, substring_dedup, toxicity, warc
+from quern.llm import decontaminate, language_id, near_dup, packing, quality_pu, substring_dedup, toxicity, warc
 from quern.llm.common import fold
 from quern.llm.quality_rules import apply_rules
 
@@ -123,3 +123,8 @@ FROM g
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_table(spark, sf_dir, "pages")).filter("kind = 'record'")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
