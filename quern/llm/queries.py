@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language_id, near_dup, packing, quality_pu, substring_dedup, toxicity, warc
+from quern.llm import decontaminate, language_id, lm_scoring, near_dup, packing, quality_pu, substring_dedup, toxicity, warc
 from quern.llm.common import fold
 from quern.llm.quality_rules import apply_rules
 
@@ -128,3 +128,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, numbered = lm_scoring.train(docs, fold(F.col("doc_id"), 7) != 2)
+    out = lm_scoring.score(numbered, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
