@@ -37,7 +37,7 @@ def pack(values: np.ndarray) -> dict[str, np.ndarray]:
     width = max((top // max(n, 1)).bit_length() - 1, 0)
     high = (values >> np.uint64(width)).astype(np.int64)
     place = high + np.arange(n)
-    bits = np.zeros((int(place[-1] if n else 0) // 64 + 2) * 64, np.uint8)
+    bits = np.zeros((int(place[-1] if n else 0) // 64 + 3) * 64, np.uint8)
     bits[place] = 1
     upper = np.packbits(bits, bitorder="little").view("<u8")
     lower = np.zeros(n * width // 64 + 2, np.uint64)
@@ -74,29 +74,33 @@ class EliasFano:
         place = word * 64 + _select_in_word(self.upper[word], i - self.ones[word])
         return (place - i).astype(np.uint64) << np.uint64(self.width) | self._low(i)
 
+    def _after_zero(self, k: np.ndarray) -> np.ndarray:
+        """The place after the k-th zero, counted from 1; 0 for none."""
+        j = np.maximum(k - 1, 0)
+        word = np.searchsorted(self.zeros, j, side="right") - 1
+        return np.where(k > 0, word * 64 + _select_in_word(~self.upper[word], j - self.zeros[word]) + 1, 0)
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of each number, or -1: the successors with the same upper part are tried in order."""
+        """The index of each number, or -1: a binary search among the numbers with the same upper part."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
         high = (x >> np.uint64(self.width)).astype(np.int64)
-        inside = np.flatnonzero(high < int(self.zeros[-1]))
+        inside = np.flatnonzero(high + 1 < int(self.zeros[-1]))
         high, want = high[inside], (x & np.uint64((1 << self.width) - 1))[inside]
-        # the run of ones after the high-th zero
-        k = np.maximum(high - 1, 0)
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        place = np.where(high > 0, word * 64 + _select_in_word(~self.upper[word], k - self.zeros[word]) + 1, 0)
-        live = np.arange(len(inside))
+        low = self._after_zero(high) - high
+        end = self._after_zero(high + 1) - high - 1
+        top = end.copy()
+        live = np.flatnonzero(low < end)
         while len(live):
-            p = place[live]
-            one = (self.upper[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-            live, p = live[one], p[one]
-            i = p - high[live]
-            low = self._low(i)
-            hit = low == want[live]
-            out[inside[live[hit]]] = i[hit]
-            live = live[low < want[live]]
-            place[live] += 1
+            mid = (low[live] + end[live]) >> 1
+            less = self._low(mid) < want[live]
+            low[live] = np.where(less, mid + 1, low[live])
+            end[live] = np.where(less, end[live], mid)
+            live = live[low[live] < end[live]]
+        at = np.flatnonzero(low < top)
+        hit = at[self._low(low[at]) == want[at]]
+        out[inside[hit]] = low[hit]
         return out
 
 
