@@ -11,7 +11,9 @@ but not none, is one shingle. Two texts are linked when the weighted Jaccard sim
    components is checked, and the rounds go on until no check brings a link. A pair is checked on its signatures (a pair
    of similarity 0.8 falls under the bound by chance once in a million), then on its multisets.
 
-So a hot bucket costs its size, not its square, unless its nodes really differ, and no candidate is left out. Nothing is
+Before all pairs of a bucket are formed, each of its open nodes is bounded: shingles that no other open node holds, by a
+count-min sketch that never counts too low, cannot be shared, so a node whose other shingles are too few for any size in its
+bucket has no link there. So a hot bucket of copies that drifted apart costs its size, not its square, and no link is lost. Nothing is
 collected: components spread by least labels with pointer jumps, in tables written to the shared folder.
 
 Defined results: a text without words is in a class of its own; rows that share an id are in one class; a null id gets the
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.bagminhash import signature, similarity
 from quern.llm.common import staged
+from quern.llm.sketch import BLOCKS, Counter, merged_bits, reached
 from quern.llm.textfeatures import mix
 from quern.llm.wordhash import WordHasher
 
@@ -152,6 +155,39 @@ def _linked(p: NearDupParams):
     return run
 
 
+def linkable(at: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """The members (bucket, node, ...) that may have a link in their bucket, by a bound on the overlap with any other."""
+    spark = docs.sparkSession
+    at = staged(at, "open")
+    own = staged(bags(docs, p, id_col, text_col, at.select("node").distinct()), "bags")
+    total = own.agg(F.sum(F.octet_length("h") / 8).alias("n")).first()["n"] or 0
+    bits = int(np.clip(int(4 * total).bit_length(), 16, 25))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = Counter(bits)
+        for batch in batches:
+            for h in batch["h"]:
+                counter.add(np.frombuffer(h, np.uint64))
+        yield from counter.blocks()
+
+    shared = spark.sparkContext.broadcast(merged_bits(own.select("h").mapInPandas(count, BLOCKS), bits, 2))
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, h, n in zip(batch["node"], batch["h"], batch["n"], strict=True):
+                n = np.frombuffer(n, "<i4")
+                out.append((node, int(n.sum()), int(n[reached(shared.value, np.frombuffer(h, np.uint64), bits)].sum())))
+            yield pd.DataFrame(out, columns=["node", "size", "common"])
+
+    sized = staged(at.join(own.mapInPandas(bound, "node long, size long, common long"), "node"), "sized")
+    limits = sized.groupBy("bucket").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
+    best = F.greatest(F.least("common", "_high"), F.col("_low"))  # the size of the best partner there may be
+    overlap = F.least("common", best)
+    near = overlap >= p.threshold * (F.col("size") + best - overlap)
+    return staged(sized.join(limits, "bucket").filter(near).select("bucket", "node", "comp", "first_comp"), "linkable")
+
+
 def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id, n_links (checked links of its node to others)."""
     p = p or NearDupParams()
@@ -183,6 +219,8 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
         else:
             # buckets that still hold several components: each member outside the first's against all of the bucket
             at = staged(at.select("bucket", "node", "comp", "first_comp"), "open")
+            mixed = at.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("bucket")
+            at = linkable(at.join(mixed, "bucket", "left_semi"), docs, p, id_col, text_col)
             rest = at.filter(F.col("comp") != F.col("first_comp")).select("bucket", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
             pairs = rest.join(at, "bucket").filter((F.col("comp") != F.col("comp_x")) & (F.col("x") != F.col("node"))).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         pairs = pairs.distinct()

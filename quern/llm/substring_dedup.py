@@ -22,7 +22,6 @@ other's windows; repeated rows fare alike; an empty table gives an empty result;
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import staged
-from quern.llm.textfeatures import mix
+from quern.llm.sketch import Counter, merged_bits, reached
 from quern.llm.wordhash import WordHasher, sliding_min
 
-_BLOCK = 1 << 16
 _LAST = (1 << 63) - 1
-_SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAEF17502108EF2D9))
 
 
 @dataclass(frozen=True)
@@ -51,11 +48,6 @@ class SubstringParams:
     bytes_per_key: int = 128
 
 
-def _cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each key in each row of the sketch."""
-    return [(mix(keys ^ s) >> np.uint64(64 - bits)).astype(np.int64) + (row << bits) for row, s in enumerate(_SEEDS)]
-
-
 class _Reader:
     """Keys and runs of a text."""
 
@@ -78,70 +70,17 @@ def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate((first[1:], [len(keys)]))
 
 
-def _merged_bits(partials: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Sums the tasks' blocks, and the bits of cells that reach ``least``, as one packed array of both rows.
-
-    Blocks meet by number; a task adds them up one at a time, so it holds its share of one sketch, however many partial
-    sketches there are. What comes to the driver is 2 * 2^bits / 8 bytes at most.
-    """
-    blocks = (len(_SEEDS) << bits) // _BLOCK
-    spread = partials.repartition(min(blocks, int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch["block"], batch["data"], strict=True):
-                cells = np.frombuffer(zlib.decompress(data), np.uint8).astype(np.uint16)
-                held[block] = np.minimum(held[block] + cells, 255) if block in held else cells
-        for block, cells in held.items():
-            if (hit := cells >= least).any():
-                yield pd.DataFrame({"block": [block], "data": [np.packbits(hit, bitorder="little").tobytes()]})
-
-    out = np.zeros((len(_SEEDS) << bits) // 8, np.uint8)
-    for r in spread.mapInPandas(add, "block long, data binary").toLocalIterator():
-        out[r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["data"], np.uint8)
-    return out
-
-
-def _blocks(cells: np.ndarray) -> Iterator[pd.DataFrame]:
-    """A task's sketch, in packed blocks; empty ones stay behind."""
-    grid = cells.reshape(-1, _BLOCK)
-    for block in np.flatnonzero(grid.any(axis=1)):
-        yield pd.DataFrame({"block": [int(block)], "data": [zlib.compress(grid[block].tobytes(), 1)]})
-
-
 def sketch_keys(rows: DataFrame, p: SubstringParams, bits: int) -> np.ndarray:
     """Bits of the cells that count two or more documents, over the whole corpus."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, cells, held, total = _Reader(p), np.zeros(len(_SEEDS) << bits, np.uint8), [], 0
-
-        def flush() -> None:
-            for c in _cells(np.concatenate(held), bits):
-                where, n = np.unique(c, return_counts=True)
-                cells[where] = np.minimum(cells[where] + np.minimum(n, 255), 255)
-
+        reader, counter = _Reader(p), Counter(bits)
         for batch in batches:
             for text in batch["_text"]:
-                own = np.unique(reader.keys(text)[1])
-                held.append(own)
-                total += len(own)
-                if total > 500_000:
-                    flush()
-                    held, total = [], 0
-        if held:
-            flush()
-        yield from _blocks(cells)
-
-    return _merged_bits(rows.select("_text").mapInPandas(run, "block long, data binary"), bits, 2)
-
+                counter.add(np.unique(reader.keys(text)[1]))
+        yield from counter.blocks()
 
-def _in(bits_of: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Whether all cells of each key are set."""
-    out = np.ones(len(keys), bool)
-    for c in _cells(keys, bits):
-        out &= (bits_of[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-    return out
+    return merged_bits(rows.select("_text").mapInPandas(run, "block long, data binary"), bits, 2)
 
 
 def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +102,7 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
                 first, end = runs_of(keys)
                 if not len(first):
                     continue
-                keep = _in(repeated.value, keys[first], bits)
+                keep = reached(repeated.value, keys[first], bits)
                 first, end = first[keep], end[keep]
                 if len(first):
                     last_word = end + p.window - 1
@@ -179,13 +118,12 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
 
     # keys whose runs differ, as bits again: exact grouping follows, so a key that shares its cells costs time only
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(len(_SEEDS) << bits, np.uint8)
+        counter = Counter(bits)
         for batch in batches:
-            for c in _cells(batch["_key"].to_numpy().view(np.uint64), bits):
-                cells[c] = 1
-        yield from _blocks(cells)
+            counter.add(batch["_key"].to_numpy().view(np.uint64))
+        yield from counter.blocks()
 
-    mixed = spark.sparkContext.broadcast(_merged_bits(by_key.filter("_mixed").select("_key").mapInPandas(mark, "block long, data binary"), bits, 1))
+    mixed = spark.sparkContext.broadcast(merged_bits(by_key.filter("_mixed").select("_key").mapInPandas(mark, "block long, data binary"), bits, 1))
 
     def emit_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(p)
@@ -193,7 +131,7 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
             out = []
             for order, text_print, text in zip(batch["_order"], batch["_print"], batch["_text"], strict=True):
                 h, keys = reader.keys(text)
-                at = np.flatnonzero(_in(mixed.value, keys, bits)) if len(keys) else keys
+                at = np.flatnonzero(reached(mixed.value, keys, bits)) if len(keys) else keys
                 if len(at):
                     out.append(pd.DataFrame({"_order": order, "_print": text_print, "_a": reader.hasher.spans(h, at, at + p.window, 0).view(np.int64), "_b": reader.hasher.spans(h, at, at + p.window, 1).view(np.int64), "_first": at}))
             if out:
