@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import staged
 from quern.llm.fm_index import FMIndex
 
-_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The words of a text before its capitals are folded.
+_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def _fold_table() -> bytes:
@@ -201,3 +202,22 @@ def digest(found: DataFrame) -> DataFrame:
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return found.select("doc_id", "n_words", "spans", "items").mapInPandas(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def retext(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams | None = None, text_col: str = "text") -> DataFrame:
+    """The input's columns, _new (the text without its spans; null stays null) and _changed; a map over the rows.
+
+    The other columns travel through the search as the row's id.
+    """
+    names = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}).alias("_key"), F.col(text_col).alias("_text"), F.col(text_col).isNull().alias("_null"))
+    packed = packed.select(F.concat(F.when(F.col("_null"), "0").otherwise("1"), "_key").alias("_key"), "_text")
+    found = find(packed, benchmark, p, "_key", "_text", keep_text=True)
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, list(s)) if len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    rows = found.select(F.from_json(F.substr("_key", F.lit(2)), docs.select(*[f"`{c}`" for c in names]).schema).alias("_row"), F.substring("_key", 1, 1).alias("_there"), "_text", "spans")
+    new = F.when(F.col("_there") == "1", without("_text", "spans"))
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], new.alias("_new"), (F.size("spans") > 0).alias("_changed"))

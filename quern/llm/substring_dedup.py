@@ -62,6 +62,16 @@ class _Reader:
         return h, sliding_min(self.hasher.windows(h, self.p.gram), self.p.window - self.p.gram + 1)
 
 
+    def both(self, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the words of each stretch."""
+        return self.hasher.spans(h, first, end, 0), self.hasher.spans(h, first, end, 1)
+
+
+def _frame(parts: list[tuple], names: list[str]) -> pd.DataFrame:
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return pd.DataFrame({n: c.view(np.int64) if c.dtype == np.uint64 else c for n, c in zip(names, columns, strict=True)})
+
+
 def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and end window of each stretch of equal keys."""
     if not len(keys):
@@ -84,10 +94,12 @@ def sketch_keys(rows: DataFrame, p: SubstringParams, bits: int) -> np.ndarray:
 
 
 def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows as _id, _text, and _first, _n: arrays of the removed stretches of words (first word, words)."""
+    """The input's rows as _id, _text, _row (all its columns), and _first, _n: arrays of the removed stretches of words
+    (first word, words)."""
     p = p or SubstringParams()
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text_col).isNull().alias("_null")).alias("_row"))
     rows = rows.withColumn("_order", F.coalesce(F.col("_id").cast("long"), F.lit(_LAST))).withColumn("_print", F.xxhash64("_text"))
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     bits = int(np.clip(int(2 * size / p.bytes_per_key).bit_length(), p.least_bits, p.most_bits))
@@ -106,11 +118,11 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
                 first, end = first[keep], end[keep]
                 if len(first):
                     last_word = end + p.window - 1
-                    out.append(pd.DataFrame({"_order": order, "_print": text_print, "_key": keys[first].view(np.int64), "_a": reader.hasher.spans(h, first, last_word, 0).view(np.int64), "_b": reader.hasher.spans(h, first, last_word, 1).view(np.int64), "_first": first, "_n": (last_word - first)}))
+                    out.append((np.full(len(first), order), np.full(len(first), text_print), keys[first], *reader.both(h, first, last_word), first, last_word - first))
             if out:
-                yield pd.concat(out)
+                yield _frame(out, ["_order", "_print", "_key", "_a", "_b", "_first", "_n"])
 
-    runs = staged(rows.mapInPandas(emit_runs, "_order long, _print long, _key long, _a long, _b long, _first int, _n int"), "runs")
+    runs = staged(rows.select("_order", "_print", "_text").mapInPandas(emit_runs, "_order long, _print long, _key long, _a long, _b long, _first int, _n int"), "runs")
     body = F.struct("_a", "_b")
     by_key = runs.groupBy("_key").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most"), F.min(body).alias("_low"), F.max(body).alias("_high"))
     by_key = staged(by_key.filter(F.col("_least") < F.col("_most")).select("_key", "_least", (F.col("_low") != F.col("_high")).alias("_mixed")), "keys")
@@ -133,16 +145,16 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
                 h, keys = reader.keys(text)
                 at = np.flatnonzero(reached(mixed.value, keys, bits)) if len(keys) else keys
                 if len(at):
-                    out.append(pd.DataFrame({"_order": order, "_print": text_print, "_a": reader.hasher.spans(h, at, at + p.window, 0).view(np.int64), "_b": reader.hasher.spans(h, at, at + p.window, 1).view(np.int64), "_first": at}))
+                    out.append((np.full(len(at), order), np.full(len(at), text_print), *reader.both(h, at, at + p.window), at))
             if out:
-                yield pd.concat(out)
+                yield _frame(out, ["_order", "_print", "_a", "_b", "_first"])
 
-    windows = staged(rows.mapInPandas(emit_windows, "_order long, _print long, _a long, _b long, _first int"), "windows")
+    windows = staged(rows.select("_order", "_print", "_text").mapInPandas(emit_windows, "_order long, _print long, _a long, _b long, _first int"), "windows")
     least = windows.groupBy("_a", "_b").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most")).filter(F.col("_least") < F.col("_most"))
     single = windows.join(least.drop("_most"), ["_a", "_b"]).filter(F.col("_order") > F.col("_least")).select("_order", "_print", "_first", F.lit(p.window).alias("_n"))
     spans = same.unionByName(single).groupBy("_order", "_print").agg(F.collect_set(F.struct("_first", "_n")).alias("_spans"))
     out = rows.join(spans, ["_order", "_print"], "left")
-    return out.select("_id", "_text", F.col("_spans._first").alias("_first"), F.col("_spans._n").alias("_n"))
+    return out.select("_id", "_text", "_row", F.col("_spans._first").alias("_first"), F.col("_spans._n").alias("_n"))
 
 
 def kept_mask(n_words: int, first, n) -> np.ndarray:
@@ -172,4 +184,25 @@ def dedup(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return spans.mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return spans.select("_id", "_text", "_first", "_n").mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+
+
+def retext(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's columns, _new (the kept words; the text itself, or null, where none is removed) and _changed."""
+    spans = removed_spans(docs, p, id_col, text_col)
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, firsts: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for text, first, n in zip(texts, firsts, sizes, strict=True):
+            if first is None or not len(first):
+                out.append(text)
+                continue
+            words = text.encode("utf-8", "replace").split()
+            out.append(b" ".join([words[i] for i in np.flatnonzero(kept_mask(len(words), first, n))]).decode("utf-8", "replace"))
+        return pd.Series(out, dtype=object)
+
+    changed = F.coalesce(F.size("_first") > 0, F.lit(False))
+    new = F.when(F.col("_row._null"), F.lit(None)).otherwise(kept("_text", "_first", "_n"))
+    names = [c for c in docs.columns if c != text_col]
+    return spans.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], new.alias("_new"), changed.alias("_changed"))

@@ -142,3 +142,15 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return rows.mapInPandas(run, f"_id {kind}, {name} double").select(F.col("_id").alias(id_col), name)
+
+
+def flag(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "_toxic") -> DataFrame:
+    """The rows with a column that tells whether their text is rejected; a map over the rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        m = shared.value
+        return pd.Series([m.score(t) >= m.params.threshold for t in texts], dtype=bool)
+
+    return docs.withColumn(name, rejected(F.coalesce(F.col(text_col), F.lit(""))))
