@@ -60,6 +60,13 @@ def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def prepare(spark: SparkSession) -> None:
+    """Texts are long: batches for Python hold 2,000 rows, where the session keeps Spark's 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
+
+
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions so that each holds about per_task rows, never fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged
+from quern.llm.common import prepare, staged
 from quern.llm.fm_index import FMIndex
 
 #: The words of a text before its capitals are folded.
@@ -134,6 +134,7 @@ def find(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams | None
     """Per row of docs: doc_id, n_words, spans (flat array of start, end, start, end ...), items (sorted texts)."""
     p = p or DecontaminationParams()
     spark = docs.sparkSession
+    prepare(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("item").isNotNull())
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(size) // p.block_bytes))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fold, staged
+from quern.llm.common import fold, prepare, staged
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
@@ -93,6 +93,7 @@ class LanguageModel:
 
 def train(docs: DataFrame, p: LanguageParams | None = None, parts: int = 4, held: int = 2) -> LanguageModel:
     p = p or LanguageParams()
+    prepare(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), parts) != held))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages + 1).collect()}

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_folder, staged
+from quern.llm.common import new_folder, prepare, staged
 from quern.llm.elias_fano import EliasFano, dump, load, pack
 from quern.llm.wordhash import WordHasher
 
@@ -390,6 +390,7 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
     """The model, and the documents' token ids for it (_id, _train, ids) in a staged table."""
     p = p or LmParams()
     spark: SparkSession = docs.sparkSession
+    prepare(spark)
     rows = _texts(docs, training, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("_text")).alias("b"), F.sum(F.col("_train").cast("long")).alias("n")).first()
     shards = max(p.least_shards, int((size["b"] or 0) // p.shard_bytes) + 1)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bagminhash import signature, similarity
-from quern.llm.common import staged
+from quern.llm.common import prepare, staged
 from quern.llm.sketch import BLOCKS, Counter, merged_bits, reached
 from quern.llm.textfeatures import mix
 from quern.llm.wordhash import WordHasher
@@ -191,6 +191,7 @@ def linkable(at: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str, text
 def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id, n_links (checked links of its node to others)."""
     p = p or NearDupParams()
+    prepare(docs.sparkSession)
     rows = staged(signed(docs, p, id_col, text_col), "signatures")
     groups = rows.filter(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.min("_id").alias("node"), F.first("_sig").alias("sig"))
     groups = staged(groups, "nodes")

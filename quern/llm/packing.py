@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged, tasks_for
+from quern.llm.common import prepare, staged, tasks_for
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class PackingParams:
     capacity: int = 2048
     end_id: int = 0
     #: Words in each half of the table that a Python worker keeps.
-    cache: int = 250_000
+    cache: int = 120_000
     rows_per_bucket: int = 100_000
 
 
@@ -299,6 +299,7 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
 def pack(docs: DataFrame, p: PackingParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece with its sequence_id and offset."""
     spark = docs.sparkSession
+    prepare(spark)
     cut = staged(pieces(docs, p, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     plan = spark.sparkContext.broadcast(make_plan(counts, p.capacity))

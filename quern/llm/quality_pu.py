@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import hashed_sample, labelled_sample
+from quern.llm.common import hashed_sample, labelled_sample, prepare
 from quern.llm.textfeatures import ngram_buckets, sigmoid
 
 
@@ -168,6 +168,7 @@ def _featured(rows: DataFrame, p: QualityParams) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, label: str = "quality", parts: int = 4, held: int = 2) -> QualityModel:
     p = p or QualityParams()
+    prepare(docs.sparkSession)
     short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= p.max_train_chars)
     positives = labelled_sample(short, labels.filter(F.col(label) == 1), label, p.positives, parts, held)
     unlabelled = hashed_sample(short, p.unlabelled, parts, held, "unlabelled")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged
+from quern.llm.common import prepare, staged
 from quern.llm.sketch import Counter, merged_bits, reached
 from quern.llm.wordhash import WordHasher, sliding_min
 
@@ -98,6 +98,7 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
     (first word, words)."""
     p = p or SubstringParams()
     spark = docs.sparkSession
+    prepare(spark)
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text_col).isNull().alias("_null")).alias("_row"))
     rows = rows.withColumn("_order", F.coalesce(F.col("_id").cast("long"), F.lit(_LAST))).withColumn("_print", F.xxhash64("_text"))

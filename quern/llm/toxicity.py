@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import labelled_sample
+from quern.llm.common import labelled_sample, prepare
 from quern.llm.textfeatures import ngram_buckets, padded_bytes, platt, sigmoid
 
 
@@ -125,6 +125,7 @@ def fit(texts: list[str], labels: list[int], p: ToxicityParams) -> ToxicityModel
 def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None, label: str = "toxic", parts: int = 3, held: int = 1) -> ToxicityModel:
     """A model from a bounded sample of the rows outside the held-out fold."""
     p = p or ToxicityParams()
+    prepare(docs.sparkSession)
     short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= p.max_train_chars)
     rows = labelled_sample(short, labels, label, p.per_class, parts, held).select("doc_id", "text", "label").toPandas().sort_values(["doc_id", "label", "text"])
     return fit(list(rows["text"]), [int(x) for x in rows["label"]], p)

@@ -36,7 +36,7 @@ class _Powers:
 class WordHasher:
     """ASCII white space parts words; each word's hash is looked up, and computed once while the table holds it."""
 
-    def __init__(self, most: int = 400_000, lower: bool = False):
+    def __init__(self, most: int = 150_000, lower: bool = False):
         self.most, self.lower = most, lower
         self.known = _Table()
         self.powers = [_Powers(b) for b in _BASES]
