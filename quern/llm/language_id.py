@@ -117,7 +117,8 @@ def train(docs: DataFrame, p: LanguageParams | None = None, parts: int = 4, held
                         for w, c in own.items():
                             for g in grams_of(w, n):
                                 table[g] += c
-                    yield pd.DataFrame({"lang": lang, "n": np.int32(n), "entry": list(table), "c": np.fromiter(table.values(), np.int64, len(table))})
+                    if table:
+                        yield pd.DataFrame({"lang": lang, "n": np.int32(n), "entry": list(table), "c": np.fromiter(table.values(), np.int64, len(table))})
 
     parts_of = sample.select("lang", "text").mapInPandas(count, "lang string, n int, entry string, c long")
     counts = staged(parts_of.groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")), "language-counts")
