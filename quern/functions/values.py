@@ -297,7 +297,9 @@ def equal(a: TypedColumn, b: TypedColumn) -> TypedColumn:
 
 def gt(a: TypedColumn, b: TypedColumn) -> TypedColumn:
     """Numbers by value; null is below everything, so the result is never null."""
-    right = b if (a.is_number and b.is_number) or a.kind == b.kind else coerce(b, a.kind)
+    if isinstance(a.kind, T.NullType):
+        return TypedColumn(F.lit(False), T.BooleanType())
+    right = b if (a.is_number and b.is_number) or a.kind == b.kind or isinstance(b.kind, T.NullType) else coerce(b, a.kind)
     out = F.when(a.col.isNull(), F.lit(False)).when(b.col.isNull(), F.lit(True)).otherwise(F.coalesce(a.col > right.col, F.lit(False)))
     return TypedColumn(out, T.BooleanType())
 

@@ -34,7 +34,8 @@ def relaxed_json(text: str):
         return whole
 
     try:
-        return json.loads(_WORD.sub(fix, text))
+        # a second pass finds commas that stood before a comment
+        return json.loads(_WORD.sub(fix, _WORD.sub(fix, text)))
     except ValueError as e:
         raise PlanError(f"bad payload: {e}") from e
 
