@@ -6,15 +6,17 @@ but not none, is one shingle. Two texts are linked when the weighted Jaccard sim
 
 1. Texts with equal multisets collapse into one node first, named by their smallest id, so thousands of copies are one row.
 2. Nodes get BagMinHash signatures. Nodes that agree in a whole band are candidates.
-3. Rounds: in every bucket each node is checked against the bucket's first node, unless links already join them, and the
-   links' components are formed. When that brings no more, every pair of nodes of one bucket that still lie in different
-   components is checked, and the rounds go on until no check brings a link. A pair is checked on its signatures (a pair
-   of similarity 0.8 falls under the bound by chance once in a million), then on its multisets.
-
-Before all pairs of a bucket are formed, each of its open nodes is bounded: shingles that no other open node holds, by a
-count-min sketch that never counts too low, cannot be shared, so a node whose other shingles are too few for any size in its
-bucket has no link there. So a hot bucket of copies that drifted apart costs its size, not its square, and no link is lost. Nothing is
-collected: components spread by least labels with pointer jumps, in tables written to the shared folder.
+3. In every bucket each node is checked against the bucket's first node, then, unless links already join them, against its
+   last. A pair is checked on its signatures (a pair of similarity 0.8 falls under the bound by chance once in a million),
+   then on its multisets. The components of the links are formed.
+4. Nodes of buckets that still hold several components are open. Open nodes of different components are checked if their
+   prefixes meet: with shingles in one order for all, rare ones first, two multisets that overlap enough share a shingle
+   among the first of each, those before the rest weighs less than the overlap asked for; and what is left of both from the
+   first such shingle on must suffice. So every link between candidates of different components is found in this one pass.
+
+The order comes from count-min sketches, which never count too low: a shingle that no other open node holds is no key. So a
+hot bucket of copies that drifted apart costs about its size, not its square, and no link is lost. Nothing is collected:
+components spread by least labels with pointer jumps, in tables written to the shared folder.
 
 Defined results: a text without words is in a class of its own; rows that share an id are in one class; a null id gets the
 class of its copies, and the null class if it has none with an id; an empty table gives an empty result; other columns are
@@ -38,6 +40,10 @@ from quern.llm.textfeatures import mix
 from quern.llm.wordhash import WordHasher
 
 
+#: Shingles are ordered by how many of these counts they reach among the open nodes.
+_STEPS = (2, 4, 16, 64, 200)
+
+
 @dataclass(frozen=True)
 class NearDupParams:
     shingle: int = 5
@@ -155,11 +161,10 @@ def _linked(p: NearDupParams):
     return run
 
 
-def linkable(at: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
-    """The members (bucket, node, ...) that may have a link in their bucket, by a bound on the overlap with any other."""
+def prefix_keys(nodes: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """node, size, key, rest: the shared shingles of each node's prefix, and the weight from each on, itself included."""
     spark = docs.sparkSession
-    at = staged(at, "open")
-    own = staged(bags(docs, p, id_col, text_col, at.select("node").distinct()), "bags")
+    own = staged(bags(docs, p, id_col, text_col, nodes), "bags")
     total = own.agg(F.sum(F.octet_length("h") / 8).alias("n")).first()["n"] or 0
     bits = int(np.clip(int(4 * total).bit_length(), 16, 25))
 
@@ -170,22 +175,34 @@ def linkable(at: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str, text
                 counter.add(np.frombuffer(h, np.uint64))
         yield from counter.blocks()
 
-    shared = spark.sparkContext.broadcast(merged_bits(own.select("h").mapInPandas(count, BLOCKS), bits, 2))
+    partials = staged(own.select("h").mapInPandas(count, BLOCKS), "counts")
+    steps = spark.sparkContext.broadcast([merged_bits(partials, bits, least) for least in _STEPS])
 
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for node, h, n in zip(batch["node"], batch["h"], batch["n"], strict=True):
-                n = np.frombuffer(n, "<i4")
-                out.append((node, int(n.sum()), int(n[reached(shared.value, np.frombuffer(h, np.uint64), bits)].sum())))
-            yield pd.DataFrame(out, columns=["node", "size", "common"])
+                h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, "<i4").astype(np.int64)
+                level = sum(reached(step, h, bits).astype(np.int64) for step in steps.value)
+                order = np.lexsort((h, level))
+                h, n, level, size = h[order], n[order], level[order], int(n.sum())
+                rest = size - np.cumsum(n) + n
+                use = (rest >= p.threshold * size - 1e-6) & (level > 0)
+                out.append(pd.DataFrame({"node": node, "size": size, "key": h[use].view(np.int64), "rest": rest[use]}))
+            if out:
+                yield pd.concat(out)
+
+    return staged(own.mapInPandas(keys, "node long, size long, key long, rest long"), "keys")
+
 
-    sized = staged(at.join(own.mapInPandas(bound, "node long, size long, common long"), "node"), "sized")
-    limits = sized.groupBy("bucket").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
-    best = F.greatest(F.least("common", "_high"), F.col("_low"))  # the size of the best partner there may be
-    overlap = F.least("common", best)
-    near = overlap >= p.threshold * (F.col("size") + best - overlap)
-    return staged(sized.join(limits, "bucket").filter(near).select("bucket", "node", "comp", "first_comp"), "linkable")
+def crossing(keys: DataFrame, p: NearDupParams) -> DataFrame:
+    """a, b: nodes of different components whose prefixes meet, and that may overlap enough by what is left of both."""
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key", "_lo")
+    at = staged(keys.join(mixed, "key"), "mixed")
+    x = at.filter("comp <> _lo").select("key", *[F.col(c).alias(c + "_x") for c in ("node", "comp", "size", "rest")])
+    enough = F.least("rest", "rest_x") * (1 + p.threshold) >= p.threshold * (F.col("size") + F.col("size_x")) - 1e-6
+    pairs = x.join(at, (x["key"] == at["key"]) & (F.col("comp") != F.col("comp_x")) & enough)
+    return pairs.select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,54 +217,44 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
     width = 4 * p.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(p.bands)])
     members = nodes.select("node", F.explode(bands).alias("bucket"))
-    first = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last"))
-    members = staged(members.join(first.select("bucket", "first"), "bucket"), "members")
-
+    ends = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last"))
+    members = staged(members.join(ends, "bucket"), "members")
     sigs = nodes.withColumnRenamed("node", "a").withColumnRenamed("sig", "sig_a")
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    comps: DataFrame | None = None
-    stars = True
-    while True:
-        if comps is None:
-            at = members.withColumn("comp", F.col("node")).withColumn("first_comp", F.col("first"))
-        else:
-            mine = comps.withColumnRenamed("comp", "_comp")
-            at = members.join(mine, "node", "left").withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
-            at = at.join(mine.withColumnRenamed("node", "first"), "first", "left").withColumn("first_comp", F.coalesce("_comp", "first")).drop("_comp")
-        if stars:
-            pairs = at.filter(F.col("comp") != F.col("first_comp")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-        else:
-            # buckets that still hold several components: each member outside the first's against all of the bucket
-            at = staged(at.select("bucket", "node", "comp", "first_comp"), "open")
-            mixed = at.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("bucket")
-            at = linkable(at.join(mixed, "bucket", "left_semi"), docs, p, id_col, text_col)
-            rest = at.filter(F.col("comp") != F.col("first_comp")).select("bucket", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
-            pairs = rest.join(at, "bucket").filter((F.col("comp") != F.col("comp_x")) & (F.col("x") != F.col("node"))).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            if not stars:
-                break
-            stars = False
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
+
+    def verified(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sigs, "a").join(sigs.withColumnRenamed("a", "b").withColumnRenamed("sig_a", "sig_b"), "b")
-        near = staged(near.select("a", "b", "sig_a", "sig_b").mapInPandas(_agreeing(p), "a long, b long"), "near").distinct()
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        own = staged(bags(docs, p, id_col, text_col, ends), "bags")
+        near = staged(near.select("a", "b", "sig_a", "sig_b").mapInPandas(_agreeing(p), "a long, b long"), "near")
+        named = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        own = staged(bags(docs, p, id_col, text_col, named), "bags")
         joined = near.join(own.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na")), "a").join(own.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb")), "b")
-        found = staged(joined.select("a", "b", "ha", "na", "hb", "nb").mapInPandas(_linked(p), "a long, b long").distinct(), "found")
-        if found.isEmpty():
-            if not stars:
-                break
-            stars = False
-            continue
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        stars = True
+        return staged(joined.select("a", "b", "ha", "na", "hb", "nb").mapInPandas(_linked(p), "a long, b long").distinct(), "found")
+
+    def labelled(at: DataFrame, comps: DataFrame | None, col: str) -> DataFrame:
+        """at with the component of the nodes of a column."""
+        if comps is None:
+            return at.withColumn(f"{col}_comp", F.col(col))
+        named = comps.select(F.col("node").alias(col), F.col("comp").alias("_comp"))
+        return at.join(named, col, "left").withColumn(f"{col}_comp", F.coalesce("_comp", col)).drop("_comp")
+
+    links: DataFrame | None = None
+    comps: DataFrame | None = None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, comps
+        found = verified(staged(pairs, "pairs"))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found).distinct()
+            comps = components(links)
+
+    for hub in ("first", "last"):
+        at = labelled(labelled(members.select("node", hub), comps, "node"), comps, hub)
+        link(at.filter(F.col("node_comp") != F.col(f"{hub}_comp")).select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct())
+    at = staged(labelled(members.select("bucket", "node"), comps, "node"), "open")
+    mixed = at.groupBy("bucket").agg(F.min("node_comp").alias("_lo"), F.max("node_comp").alias("_hi")).filter("_lo < _hi").select("bucket")
+    left = staged(at.join(mixed, "bucket", "left_semi").select("node").distinct(), "left")
+    if not left.isEmpty():
+        keys = labelled(prefix_keys(left, docs, p, id_col, text_col), comps, "node").withColumnRenamed("node_comp", "comp")
+        link(crossing(keys, p))
 
     out = rows.select("_id", "_a", "_b").join(groups.select("_a", "_b", "node"), ["_a", "_b"], "left")
     out = out.withColumn("node", F.coalesce("node", "_id"))
