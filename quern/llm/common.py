@@ -55,6 +55,11 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """df in as many partitions as its rows ask for, if the session's setting gives more."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32(key as text) mod parts; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(parts))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bagminhash import signature, similarity
-from quern.llm.common import prepare, staged
+from quern.llm.common import compact, prepare, staged
 from quern.llm.sketch import BLOCKS, Counter, merged_bits, reached
 from quern.llm.textfeatures import mix
 from quern.llm.wordhash import WordHasher
@@ -121,19 +121,36 @@ def components(links: DataFrame) -> DataFrame:
 
     Every node takes the least label among itself and its neighbours, then its label's label, until nothing changes.
     """
-    both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
+    # the tables here hold a row or two a link, and are cut by that, not by the session's partitions
+    rows = 2 * links.count()
+    both = staged(compact(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), rows), "links")
+    labels = staged(compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), rows), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", F.least("comp", "near").alias("low"), "comp")
-        low = staged(low, "labels")
+        low = staged(compact(low, rows), "labels")
         up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        new = staged(low.join(up, "low").select("node", F.least("low", "up").alias("comp"), F.col("comp").alias("was")), "labels")
+        new = staged(compact(low.join(up, "low").select("node", F.least("low", "up").alias("comp"), F.col("comp").alias("was")), rows), "labels")
         labels = new.select("node", "comp")
         if new.filter("comp <> was").isEmpty():
             return labels
 
 
+def merged(comps: DataFrame | None, found: DataFrame) -> DataFrame:
+    """node, comp after more links: only the components that the new links join are formed anew."""
+    if comps is None:
+        return components(found)
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    own = comps.unionByName(ends.join(comps, "node", "left_anti").withColumn("comp", F.col("node")))
+    own = staged(compact(own, own.count()), "labels")
+    over = found
+    for end in ("a", "b"):
+        over = over.join(own.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")), end)
+    over = staged(compact(over.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), found.count()), "links")
+    joined = components(over).select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+    return staged(own.join(joined, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp")), "labels")
+
+
 def _agreeing(p: NearDupParams):
     """Keeps pairs whose signatures agree in enough places."""
 
@@ -217,9 +234,11 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
     width = 4 * p.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(p.bands)])
     members = nodes.select("node", F.explode(bands).alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last"))
+    # written first, so that their sizes are known where they are joined: few buckets are shared, and few nodes lie in one
+    ends = staged(members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last")), "ends")
     members = staged(members.join(ends, "bucket"), "members")
-    sigs = nodes.withColumnRenamed("node", "a").withColumnRenamed("sig", "sig_a")
+    sharing = staged(members.select("node").distinct(), "sharing")
+    sigs = staged(nodes.join(sharing, "node", "left_semi").select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "sigs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sigs, "a").join(sigs.withColumnRenamed("a", "b").withColumnRenamed("sig_a", "sig_b"), "b")
@@ -244,7 +263,7 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
         found = verified(staged(pairs, "pairs"))
         if not found.isEmpty():
             links = found if links is None else links.union(found).distinct()
-            comps = components(links)
+            comps = merged(comps, found)
 
     for hub in ("first", "last"):
         at = labelled(labelled(members.select("node", hub), comps, "node"), comps, hub)
