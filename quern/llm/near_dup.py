@@ -193,7 +193,7 @@ def prefix_keys(nodes: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str
         yield from counter.blocks()
 
     partials = staged(own.select("h").mapInPandas(count, BLOCKS), "counts")
-    steps = spark.sparkContext.broadcast([merged_bits(partials, bits, least) for least in _STEPS])
+    steps = spark.sparkContext.broadcast(merged_bits(partials, bits, *_STEPS))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -50,11 +50,11 @@ class Counter:
             yield pd.DataFrame({"block": [int(block)], "data": [zlib.compress(grid[block].tobytes(), 1)]})
 
 
-def merged_bits(partials: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Sums the tasks' blocks, and the bits of cells that reach ``least``, as one packed array of both rows.
+def merged_bits(partials: DataFrame, bits: int, *least: int) -> list[np.ndarray]:
+    """Sums the tasks' blocks; for each of ``least`` the bits of cells that reach it, as one packed array of both rows.
 
     Blocks meet by number; a task adds them up one at a time, so it holds its share of one sketch, however many partial
-    sketches there are. What comes to the driver is 2 * 2^bits / 8 bytes at most.
+    sketches there are. What comes to the driver, in one job, is 2 * 2^bits / 8 bytes a bound at most.
     """
     blocks = (len(_SEEDS) << bits) // _BLOCK
     spread = partials.repartition(min(blocks, int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
@@ -66,12 +66,13 @@ def merged_bits(partials: DataFrame, bits: int, least: int) -> np.ndarray:
                 cells = np.frombuffer(zlib.decompress(data), np.uint8).astype(np.uint16)
                 held[block] = np.minimum(held[block] + cells, 255) if block in held else cells
         for block, cells in held.items():
-            if (hit := cells >= least).any():
-                yield pd.DataFrame({"block": [block], "data": [np.packbits(hit, bitorder="little").tobytes()]})
+            for i, bound in enumerate(least):
+                if (hit := cells >= bound).any():
+                    yield pd.DataFrame({"level": [i], "block": [block], "data": [np.packbits(hit, bitorder="little").tobytes()]})
 
-    out = np.zeros((len(_SEEDS) << bits) // 8, np.uint8)
-    for r in spread.mapInPandas(add, "block long, data binary").toLocalIterator():
-        out[r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["data"], np.uint8)
+    out = [np.zeros((len(_SEEDS) << bits) // 8, np.uint8) for _ in least]
+    for r in spread.mapInPandas(add, "level int, block long, data binary").collect():
+        out[r["level"]][r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["data"], np.uint8)
     return out
 
 

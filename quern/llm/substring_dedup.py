@@ -90,7 +90,7 @@ def sketch_keys(rows: DataFrame, p: SubstringParams, bits: int) -> np.ndarray:
                 counter.add(np.unique(reader.keys(text)[1]))
         yield from counter.blocks()
 
-    return merged_bits(rows.select("_text").mapInPandas(run, "block long, data binary"), bits, 2)
+    return merged_bits(rows.select("_text").mapInPandas(run, "block long, data binary"), bits, 2)[0]
 
 
 def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +136,7 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
             counter.add(batch["_key"].to_numpy().view(np.uint64))
         yield from counter.blocks()
 
-    mixed = spark.sparkContext.broadcast(merged_bits(by_key.filter("_mixed").select("_key").mapInPandas(mark, "block long, data binary"), bits, 1))
+    mixed = spark.sparkContext.broadcast(merged_bits(by_key.filter("_mixed").select("_key").mapInPandas(mark, "block long, data binary"), bits, 1)[0])
 
     def emit_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(p)
