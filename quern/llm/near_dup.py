@@ -42,6 +42,8 @@ from quern.llm.wordhash import WordHasher
 
 #: Shingles are ordered by how many of these counts they reach among the open nodes.
 _STEPS = (2, 4, 16, 64, 200)
+#: So many ids (16 MB of numbers) go to the executors to choose texts by; beyond that texts are shuffled to the ids.
+_SENT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,9 @@ def bags(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str, nodes: D
             yield pd.DataFrame({"node": batch["node"], "h": [h.tobytes() for h, _ in found], "n": [n.astype("<i4").tobytes() for _, n in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    nodes = staged(nodes.distinct(), "named")
+    if nodes.count() <= _SENT:
+        nodes = F.broadcast(nodes)
     return rows.join(nodes, "node", "left_semi").mapInPandas(run, "node long, h binary, n binary")
 
 
