@@ -4,7 +4,7 @@ Training counts words, pairs and triples over every training document. The trie
 write to the folder all executors share and later tasks map into memory:
 
 1. words by their 64-bit hashes, with counts; a word's id is its rank;
-2. pairs (u, w) seen ``min_count`` times or more, in order of u then w, as one Elias-Fano sequence a shard, with the
+2. pairs (u, w) seen ``min_count`` times or more (all by default), in order of u then w, as one Elias-Fano sequence a shard, with the
    pointers to where each u's successors begin as another;
 3. triples (u, v, w): the node of (u, v), then the rank of w among the successors of v, as Elias-Fano sequences. A triple is
    found by looking up (u, v) and (v, w) in level 2 and then the relative rank below the node.
@@ -42,7 +42,7 @@ _STEP = 4096.0
 
 @dataclass(frozen=True)
 class LmParams:
-    min_count: int = 2
+    min_count: int = 1
     discount: float = 0.5
     block_tokens: int = 2_000_000
     #: Text bytes for each shard of a level.

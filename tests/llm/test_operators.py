@@ -191,6 +191,32 @@ def test_lm_probabilities_and_counts(docs, empty):
     assert lm_scoring.score(ids, gone).count() == 0
 
 
+def test_lm_scores_use_pairs_and_triples_seen_once(docs):
+    model, numbered = lm_scoring.train(docs, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
+    rows = [(r[0], [w.encode().lower() for w in words(r[1])]) for r in make_rows()]
+    grams, below = collections.Counter(), collections.defaultdict(list)
+    for d, own in rows:
+        if d is None or d % 2 == 0:
+            t = [None, *own, b""]
+            grams.update((w,) for w in t)
+            grams.update(zip(t, t[1:], strict=False))
+            grams.update(zip(t, t[1:], t[2:], strict=False))
+    for g, n in grams.items():
+        below[g[:-1]].append(n - 0.5)
+    total, size = sum(n for g, n in grams.items() if len(g) == 1 and g != (None,)), sum(len(g) == 1 for g in grams) - 1
+
+    def chance(*g):
+        if len(g) == 1:
+            return (grams[g] + 1) / (total + size + 1)
+        rest, all_ = chance(*g[1:]), grams[g[:-1]]
+        return (max(grams[g] - 0.5, 0) + (all_ - sum(below[g[:-1]])) * rest) / all_ if all_ else rest
+
+    want = sorted(((d, sum(math.log10(chance(*t[max(i - 2, 0) : i + 1])) for i in range(1, len(t)))) for d, t in ((d, [None, *own, b""]) for d, own in rows)), key=repr)
+    got = sorted(((r["doc_id"], r["score"], r["n_tokens"]) for r in lm_scoring.score(numbered, model).collect()), key=repr)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[1] - w[1]) < 0.0005 * g[2] for g, w in zip(got, want, strict=True))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
