@@ -57,8 +57,10 @@ class Pipeline:
                 self.sink.write(native, d.entity.native, batch)
                 self.sink.write(processed(native, d), d.entity.process, batch)
             self.sink.write(ready.filter(F.col("definition").isNull()).drop("definition"), "dead_letters", batch)
-            for feed in self.feeds:
-                feed.write(ready)
+            for d in definitions if self.feeds else ():
+                native = mapped(ready.filter(F.col("definition") == d.id), d)
+                for feed in self.feeds:
+                    feed.write(native, lambda df, d=d: processed(df, d))
         finally:
             ready.unpersist()
 

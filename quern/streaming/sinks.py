@@ -49,14 +49,14 @@ class ConnectorSink:
 
 @dataclass
 class TopicFeed:
-    """Hands the processed rows of one topic to a listener as JSON lines, a bounded number from each batch."""
+    """Hands all processed rows of one topic to a listener as JSON lines, one partition at a time."""
 
     topic: str
     send: object
-    most: int = 1000
 
-    def write(self, df: DataFrame) -> None:
-        rows = df.filter(F.array_contains("topics", self.topic)).limit(self.most)
+    def write(self, native: DataFrame, query) -> None:
+        """A definition's query over its records of the topic: a query that merges records merges those of the topic only."""
+        rows = query(native.filter(F.array_contains("topics", self.topic)))
         for line in rows.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():
             self.send(line["line"])
 

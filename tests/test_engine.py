@@ -1,4 +1,5 @@
 import datetime
+import json
 import time
 
 import pytest
@@ -10,7 +11,7 @@ from quern.functions.types import parse_type, schema_of
 from quern.functions.values import ValueTypeError, literal, typed
 from quern.plans import PlanError, Query, Scope, parse
 from quern.plans.mql import relaxed_json
-from quern.streaming import ParquetSink, Pipeline
+from quern.streaming import ParquetSink, Pipeline, TopicFeed
 
 CONFIG = """
 [def.rel]
@@ -115,6 +116,16 @@ def test_pipeline_batch_and_stream_agree(spark, tmp_path):
     _check(spark, sink)
 
 
+def test_topic_feed_sends_all_processed_rows(spark, tmp_path):
+    rows = [(["relational", "x"], f'["n", {i}, {i}.5]') for i in range(1200)] + [(["relational"], '["m", 4, -1.0]'), (["doc", "x"], '{"age": 7}'), (["x"], "1"), (None, "2")]
+    df = spark.createDataFrame(rows, "topics array<string>, raw string").select("topics", F.parse_json("raw").alias("value"))
+    lines = []
+    Pipeline(load(CONFIG), ParquetSink(str(tmp_path)), [TopicFeed("x", lines.append)]).run_batch(df)
+    got = [json.loads(x) for x in lines]
+    assert sorted(r["field0"] for r in got if "field0" in r) == [i + 3.5 for i in range(1200)]
+    assert [r for r in got if "field0" not in r] == [{"age": "7"}]
+
+
 def test_ramping_source_slows_down():
     from quern.sources.generators import _RampingReader
 
