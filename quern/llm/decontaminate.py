@@ -9,8 +9,8 @@ Phrases are all windows of ``window`` words of an item; an item of fewer words,
 tasks in blocks of at most ``block_bytes`` of benchmark text, one pass over the documents for each block, so no task holds
 a benchmark of unknown size; a usual benchmark is one block. There is no shuffle.
 
-Defined results: null texts and items have no words; repeated rows are judged row by row, repeated items count once by
-item_id; an empty benchmark leaves every document clean; other columns of the inputs are ignored.
+Defined results: null texts have no words; repeated rows are judged row by row, repeated items count once by item_id; an
+item with a null item_id has no name, so its passages are hit and cut out, but it enters no items; an empty benchmark leaves every document clean; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -60,13 +60,13 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """The distinct phrases of some items, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.symbol: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
             for i in range(max(len(ids) - window + 1, 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
+                found.setdefault(tuple(ids[i : i + window]), set()).update(() if item is None else (item,))
         keys = list(found)
         self.items = [sorted(found[k]) for k in keys]
         self.lengths = np.array([len(k) for k in keys], np.int64)
@@ -135,14 +135,14 @@ def find(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams | None
     p = p or DecontaminationParams()
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("item").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(size) // p.block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, _text string, n_words long, spans array<long>, items array<string>"
     at = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in own.collect()], p.window))
         last = block == blocks - 1
 
