@@ -5,7 +5,8 @@ n-grams of its letters with a mark at both ends, from the longest order down, an
 model knows any n-gram, at a penalty for each step down. A text's score is its languages' softmax over the mean word.
 
 Training reads a bounded sample: about ``per_language`` texts of each language, by a hash of the id. Counting runs on the
-executors; the most frequent entries of the sample, at most ``most_entries`` for each language, come to the driver.
+executors; of each language its ``most_entries`` most frequent entries come to the driver, and where some languages have
+fewer, the most frequent of the others' further entries take their places.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; a null language is not learned from; equal
 scores go to the first language in alphabetical order; with nothing to learn from all texts are ``und``; repeated rows
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import fold, prepare, staged
@@ -126,7 +127,10 @@ def train(docs: DataFrame, p: LanguageParams | None = None, parts: int = 4, held
     kept = counts.filter((F.col("c") > 1) | (F.col("n") == 1))
     tables: dict[int, dict[str, dict[str, int]]] = {}
     totals: dict[tuple[str, int], int] = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
-    for r in kept.orderBy(F.desc("c"), "entry", "lang", "n").limit(p.most_entries * len(sizes)).collect():
+    # ties go by a hash: the alphabet would set letters beyond ASCII back
+    first = [F.desc("c"), F.xxhash64("entry"), F.col("entry"), F.col("n")]
+    ranked = kept.withColumn("_over", F.row_number().over(Window.partitionBy("lang").orderBy(*first)) > p.most_entries)
+    for r in ranked.orderBy("_over", *first, "lang").limit(p.most_entries * len(sizes)).collect():
         tables.setdefault(r["n"], {}).setdefault(r["entry"], {})[r["lang"]] = r["c"]
     return build(p, sorted(sizes), tables, totals)
 

@@ -311,6 +311,17 @@ def test_classifiers_on_odd_rows(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_each_language_keeps_its_own_entries(spark):
+    big = " ".join(f"{a}{b}{c}" for a in "bcdf" for b in "aei" for c in "lmnrs")
+    rows = [(i, big, "big") for i in range(60)] + [(100 + i, "żółw żółw ćma", "few") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tables = language_id.train(df, language_id.LanguageParams(most_entries=40)).tables
+    assert {"żółw", "ćma"} <= set(tables[0]) and sum(map(len, tables.values())) > 60
+    # places that one language leaves free go to the other
+    tables = language_id.train(df, language_id.LanguageParams(most_entries=200)).tables
+    assert {"żółw", "ćma"} <= set(tables[0]) and sum(map(len, tables.values())) > 300
+
+
 def _held_out(out, labels, label):
     both = out.filter("held_out").join(labels, "doc_id").filter(F.col(label).isNotNull())
     return both.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
