@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+import warnings
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space between words, and the words themselves, of contracts on raw words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -65,11 +69,72 @@ def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+#: Arrow batches of texts: Spark's own bounds on rows and bytes, and ours. A session that has set others keeps them.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Texts are long: batches for Python hold 2,000 rows, where the session keeps Spark's 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "2000")
+    """Texts are long: batches for Python are bounded. Results are lazy, so the settings stay in the session."""
+    for key, (default, own) in _BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
+
+
+# ---------------------------------------------------------------- Python workers
+
+
+_RESIDENT: dict = {"owner": None, "held": {}}
+
+
+def resident(owner: str, key, make: Callable):
+    """What a Python worker keeps from task to task of one operator; the first task of another one drops it."""
+    if _RESIDENT["owner"] != owner:
+        _RESIDENT["owner"], _RESIDENT["held"] = owner, {}
+    held = _RESIDENT["held"]
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def release() -> None:
+    """Free memory goes back to the system: workers live on between tasks, beside a full heap."""
+    try:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def task(owner: str, run: Callable) -> Callable:
+    """run over a task's batches, for mapInPandas and iterator UDFs: begins without other operators' tables, ends lean."""
+
+    def whole(batches: Iterator) -> Iterator:
+        if _RESIDENT["owner"] not in (None, owner):
+            _RESIDENT["owner"], _RESIDENT["held"] = None, {}
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def column_udf(owner: str, schema: str, run: Callable) -> Callable:
+    """A column function over batches of columns. Ids and other columns stay in the JVM, so they come out as they went in."""
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the kind is given here, for a closure has no hints to tell it by
+        return F.pandas_udf(task(owner, run), schema, PandasUDFType.SCALAR_ITER).asNondeterministic()
+
+
+def whole_ids(df: DataFrame, col: str) -> None:
+    """For operators that order rows by id."""
+    if not isinstance(df.schema[col].dataType, T.IntegralType):
+        raise TypeError(f"{col} is {df.schema[col].dataType.simpleString()}; whole numbers are expected, number the rows first")
 
 
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -22,6 +22,23 @@ def padded_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(b" " + (text or "").encode("utf-8", "replace").lower() + b" ", np.uint8)
 
 
+def padded_points(text: str | None) -> np.ndarray:
+    """Code points of the lower-cased text with a space at either end; null is the empty text."""
+    return np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "replace"), "<u4")
+
+
+def point_buckets(points: np.ndarray, orders: tuple[int, ...], bits: int) -> list[np.ndarray]:
+    """For each order n, the bucket of every n-gram of code points, in order of place."""
+    out, own, rolled, length = [], points.astype(np.uint64), points.astype(np.uint64), 1
+    for n in sorted(orders):
+        while length < n:
+            rolled = rolled[:-1] * _MUL + own[length:] if len(own) > length else rolled[:0]
+            length += 1
+        h = (rolled ^ np.uint64(n)) * _MUL
+        out.append(((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(64 - bits)).astype(np.int64))
+    return out
+
+
 def ngram_buckets(b: np.ndarray, orders: tuple[int, ...], bits: int) -> list[np.ndarray]:
     """For each order n of up to 8, the bucket of every n-gram of bytes, in order of place."""
     out, packed, length = [], b.astype(np.uint64), 1
