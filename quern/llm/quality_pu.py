@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import hashed_sample, labelled_sample, prepare
+from quern.llm.common import column_udf, hashed_sample, labelled_sample, prepare
 from quern.llm.textfeatures import ngram_buckets, sigmoid
 
 
@@ -154,13 +154,14 @@ def fit(pos: np.ndarray, unl: np.ndarray, p: QualityParams) -> QualityModel:
 
 
 def _featured(rows: DataFrame, p: QualityParams) -> np.ndarray:
-    """Feature rows of a bounded sample, made on the executors, in order of id."""
+    """Feature rows of a bounded sample, made on the executors, in one order whatever the partitions."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [features(t, p).astype(np.float16).tobytes() for t in batch["text"]]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([features(t, p).astype(np.float16).tobytes() for t in texts], dtype=object)
 
-    found = rows.select("doc_id", "text").mapInPandas(run, "doc_id long, x binary").toPandas().sort_values(["doc_id", "x"])
+    made = rows.select(F.col("doc_id").cast("string").alias("key"), column_udf("quality", "binary", run)("text").alias("x"))
+    found = made.toPandas().sort_values(["key", "x"])
     if not len(found):
         return np.zeros((0, (1 << p.bits) + N_RATIOS), np.float32)
     return np.stack([np.frombuffer(x, np.float16) for x in found["x"]]).astype(np.float32)
@@ -176,14 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, la
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
-    """Id and score of every row; a map over the rows."""
+    """Id and score of every row; a map over the rows. The id may be of any type."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], name: np.array([m.score(t) for t in batch["_text"]], float)})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, {name} double").select(F.col("_id").alias(id_col), name)
+    return docs.select(F.col(id_col), column_udf("quality", "double", run)(F.coalesce(F.col(text_col), F.lit(""))).alias(name))
