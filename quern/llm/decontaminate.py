@@ -2,31 +2,36 @@
 
 A shard is a run of documents inside a task, of about ``shard_words`` words. Its words become symbols: a word that no
 benchmark phrase holds ends a stretch, for no match can cross it, and stretches shorter than the shortest phrase are left
-out of the index, for none fits in. The index is searched for all phrases at once, backwards through wavelet-matrix ranks;
-occurrences are located by sampled suffix positions and merged into removal spans of word places.
+out of the index, for none fits in. So the index holds the stretches of benchmark words of every document whole, and
+nothing else: of a corpus in another vocabulary next to nothing, with a one-word item in the benchmark each occurrence of
+any benchmark word. The index is searched for all phrases at once, backwards through wavelet-matrix ranks; occurrences are
+located by sampled suffix positions and merged into removal spans of word places.
 
 Phrases are all windows of ``window`` words of an item; an item of fewer words, but not none, is one phrase. They go to the
-tasks in blocks of at most ``block_bytes`` of benchmark text, one pass over the documents for each block, so no task holds
-a benchmark of unknown size; a usual benchmark is one block. There is no shuffle.
+tasks in blocks of about ``block_phrases``, or one item where it alone has more, so no task holds a benchmark of unknown
+size. A usual benchmark is one block, and the search a map over the rows; each further block reads the documents once more
+and writes the hits alone, which join the texts by their digest.
 
 Defined results: null texts have no words; repeated rows are judged row by row, repeated items count once by item_id; an
-item with a null item_id has no name, so its passages are hit and cut out, but it enters no items; an empty benchmark leaves every document clean; other columns of the inputs are ignored.
+item with a null item_id has no name, so its passages are hit and cut out, but it enters no items; an empty benchmark
+leaves every document clean; ids and all other columns stay as they are, whatever their types; other columns of the
+benchmark are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepare, staged
+from quern.llm.common import column_udf, prepare, staged
 from quern.llm.fm_index import FMIndex
 
 #: The words of a text before its capitals are folded.
@@ -50,7 +55,7 @@ class DecontaminationParams:
     window: int = 10
     shard_words: int = 1_000_000
     sample: int = 8
-    block_bytes: int = 16_000_000
+    block_phrases: int = 400_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,28 +67,35 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[bytes, tuple[str, ...]] = {}
+        alike: dict[tuple[str, ...], tuple[str, ...]] = {}
         for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
-            for i in range(max(len(ids) - window + 1, 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).update(() if item is None else (item,))
-        keys = list(found)
-        self.items = [sorted(found[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.shortest = int(self.lengths.min()) if keys else 0
-        self.table = np.zeros((len(keys), window), np.int64)
-        for row, k in enumerate(keys):
-            self.table[row, window - len(k) :] = k
-
-
-def shard_hits(docs: list[list[bytes]], phrases: Phrases, sample: int) -> tuple[list[np.ndarray], list[set[str]]]:
-    """For each document of a shard: merged spans of word places as rows (start, end), and the items that occur."""
+            ids = np.array([self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)], np.int32)
+            for i in range(max(len(ids) - window + 1, 1) if len(ids) else 0):
+                key = ids[i : i + window].tobytes()
+                own = found.get(key, ())
+                names = tuple(sorted({*own, item})) if item is not None else own
+                found[key] = alike.setdefault(names, names)
+        self.items = list(found.values())
+        self.lengths = np.array([len(k) // 4 for k in found], np.int64)
+        self.shortest = int(self.lengths.min()) if found else 0
+        self.table = np.zeros((len(found), window), np.int32)
+        for row, k in enumerate(found):
+            self.table[row, window - len(k) // 4 :] = np.frombuffer(k, np.int32)
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        """The words' symbols, 0 for those of no phrase."""
+        return np.fromiter(map(self.symbol.get, words, repeat(0)), np.int32, len(words))
+
+
+def shard_hits(docs: list[np.ndarray], phrases: Phrases, sample: int) -> tuple[list[np.ndarray], list[set[str]]]:
+    """For each document of a shard, given as symbols: merged spans of word places as rows (start, end), and the items that occur."""
     spans = [np.zeros((0, 2), np.int64)] * len(docs)
     items: list[set[str]] = [set() for _ in docs]
-    if not len(phrases.lengths):
+    if not len(phrases.lengths) or not docs:
         return spans, items
     sizes = np.array([len(d) for d in docs], np.int64)
-    symbols = np.concatenate([np.fromiter(map(phrases.symbol.get, d, repeat(0)), np.int64, len(d)) for d in docs] or [np.zeros(0, np.int64)])
+    symbols = np.concatenate(docs).astype(np.int64)
     base = np.concatenate(([0], np.cumsum(sizes)))  # of each document's words in the shard
     known = np.concatenate(([0], symbols > 0, [0])).astype(np.int8)
     known_at = np.flatnonzero(np.diff(known))
@@ -130,49 +142,87 @@ def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack((both[new, 0], reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(both) - 1]))]), axis=1)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_words, spans (flat array of start, end, start, end ...), items (sorted texts)."""
-    p = p or DecontaminationParams()
-    spark = docs.sparkSession
-    prepare(spark)
+def _search(phrases, p: DecontaminationParams, texts: Column, keep_text: bool) -> Column:
+    """n_words, n_hit, spans, items, and with keep_text the text without its spans where it has any."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = phrases.value
+
+        def flush(rows: list[str], docs: list[np.ndarray]) -> pd.DataFrame:
+            spans, found = shard_hits(docs, own, p.sample)
+            out = {
+                "n_words": [len(d) for d in docs],
+                "n_hit": [int((s[:, 1] - s[:, 0]).sum()) for s in spans],
+                "spans": [s.ravel().tolist() for s in spans],
+                "items": [sorted(x) for x in found],
+            }
+            if keep_text:
+                out["new"] = [cut(t, s.ravel().tolist()) if len(s) else None for t, s in zip(rows, spans, strict=True)]
+            return pd.DataFrame(out)
+
+        rows, held, total = [], [], 0
+        for batch in batches:
+            for text in batch:
+                rows.append(text if keep_text else "")
+                held.append(own.symbols(words_of(text)))
+                total += len(held[-1])
+                if total >= p.shard_words:
+                    yield flush(rows, held)
+                    rows, held, total = [], [], 0
+        if rows:
+            yield flush(rows, held)
+
+    return column_udf("decontamination", "n_words long, n_hit long, spans array<long>, items array<string>" + ", new string" * keep_text, run)(texts)
+
+
+def _blocks(benchmark: DataFrame, p: DecontaminationParams) -> list:
+    """The phrases of each block, as broadcasts."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(size) // p.block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, _text string, n_words long, spans array<long>, items array<string>"
-    at = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD.pattern))).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(words) // p.block_phrases))
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in own.collect()], p.window))
-        last = block == blocks - 1
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, last=last) -> Iterator[pd.DataFrame]:
-            phrases = shared.value
-
-            def flush(rows: list, docs: list) -> pd.DataFrame:
-                spans, found = shard_hits(docs, phrases, p.sample)
-                out = []
-                for (key, text, _, old, names), words, new, more in zip(rows, docs, spans, found, strict=True):
-                    merged = _merge(np.asarray(old, np.int64).reshape(-1, 2), new)
-                    out.append((key, text if keep_text or not last else None, len(words), merged.ravel().tolist(), sorted({*names, *more})))
-                return pd.DataFrame(out, columns=["_id", "_text", "n_words", "spans", "items"])
-
-            rows, held, total = [], [], 0
-            for batch in batches:
-                for row in batch.itertuples(index=False, name=None):
-                    rows.append(row)
-                    held.append(words_of(row[1]))
-                    total += len(held[-1])
-                    if total >= p.shard_words:
-                        yield flush(rows, held)
-                        rows, held, total = [], [], 0
-            if rows:
-                yield flush(rows, held)
-
-        at = at.mapInPandas(run, schema)
-        if not last:
-            at = staged(at, "decontamination")
-    return at.withColumnRenamed("_id", id_col).withColumnRenamed("_text", text_col)
+        yield spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in own.collect()], p.window))
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams, text_col: str, keep_text: bool) -> DataFrame:
+    """The rows of docs with a column _found: n_words, n_hit, spans, items, and new with keep_text."""
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blocks = list(_blocks(benchmark, p))
+    if len(blocks) == 1:
+        return docs.withColumn("_found", _search(blocks[0], p, text, keep_text))
+    hits = []
+    for block in blocks:
+        made = docs.select(F.sha2(text, 256).alias("_text_key"), _search(block, p, text, False).alias("f"))
+        hits.append(staged(made.filter("f.n_hit > 0").select("_text_key", "f.spans", "f.items").dropDuplicates(["_text_key"]), "hits"))
+    both = reduce(DataFrame.union, hits).groupBy("_text_key").agg(F.collect_list("spans").alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+
+    def merge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in batches:
+            out = []
+            for t, several in zip(texts, spans, strict=True):
+                own = np.zeros((0, 2), np.int64)
+                for x in several if several is not None else ():
+                    own = _merge(own, np.asarray(x, np.int64).reshape(-1, 2))
+                flat = own.ravel().tolist()
+                row = (len(words_of(t)), int((own[:, 1] - own[:, 0]).sum()), flat)
+                out.append(row + ((cut(t, flat) if flat else None,) if keep_text else ()))
+            yield pd.DataFrame(out, columns=["n_words", "n_hit", "spans"] + ["new"] * keep_text)
+
+    merged = column_udf("decontamination", "n_words long, n_hit long, spans array<long>" + ", new string" * keep_text, merge)
+    rows = docs.withColumn("_text_key", F.sha2(text, 256)).join(both, "_text_key", "left")
+    rows = rows.withColumn("_m", merged(text, F.col("_spans")))
+    fields = [F.col(f"_m.{c}").alias(c) for c in ("n_words", "n_hit", "spans")] + [F.coalesce("_items", F.array().cast("array<string>")).alias("items")] + [F.col("_m.new").alias("new")] * keep_text
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*fields).alias("_found"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: its id, n_words, n_hit, spans (flat array of start, end, start, end ...), items (sorted texts)."""
+    own = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    out = found_in(own, benchmark, p or DecontaminationParams(), "_text", False)
+    return out.select(id_col, "_found.n_words", "_found.n_hit", "_found.spans", "_found.items")
 
 
 def cut(text: str, spans: list[int]) -> str:
@@ -185,40 +235,15 @@ def cut(text: str, spans: list[int]) -> str:
     return "".join(out) + text[at:]
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the query: counts and a hash of the items."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "n_words": b["n_words"],
-                    "n_hit": [int(sum(s[1::2]) - sum(s[::2])) for s in b["spans"]],
-                    "n_items": [len(x) for x in b["items"]],
-                    "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in b["items"]],
-                    "contaminated": [len(s) > 0 for s in b["spans"]],
-                }
-            )
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "n_words", "spans", "items").mapInPandas(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    names = F.sha2(F.array_join("items", ","), 256)
+    return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def retext(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams | None = None, text_col: str = "text") -> DataFrame:
-    """The input's columns, _new (the text without its spans; null stays null) and _changed; a map over the rows.
-
-    The other columns travel through the search as the row's id.
-    """
+    """The input's columns but the text, _new (the text without its spans; null stays null) and _changed."""
+    found = found_in(docs, benchmark, p or DecontaminationParams(), text_col, True)
     names = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}).alias("_key"), F.col(text_col).alias("_text"), F.col(text_col).isNull().alias("_null"))
-    packed = packed.select(F.concat(F.when(F.col("_null"), "0").otherwise("1"), "_key").alias("_key"), "_text")
-    found = find(packed, benchmark, p, "_key", "_text", keep_text=True)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, list(s)) if len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-    rows = found.select(F.from_json(F.substr("_key", F.lit(2)), docs.select(*[f"`{c}`" for c in names]).schema).alias("_row"), F.substring("_key", 1, 1).alias("_there"), "_text", "spans")
-    new = F.when(F.col("_there") == "1", without("_text", "spans"))
-    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], new.alias("_new"), (F.size("spans") > 0).alias("_changed"))
+    changed = F.col("_found.n_hit") > 0
+    return found.select(*[F.col(f"`{c}`") for c in names], F.when(changed, F.col("_found.new")).otherwise(F.col(text_col)).alias("_new"), changed.alias("_changed"))

@@ -7,7 +7,7 @@ def test_items_without_id_are_hit_but_not_named(spark):
     items = [(None, " ".join(word[5:25])), (None, "Short"), (None, None), (7, " ".join(word[20:32])), (7, " ".join(word[5:25]))]
     for named, want in ((items, {0: (27, ["7"]), 1: (1, []), 2: (0, [])}), (items[:3], {0: (20, []), 1: (1, []), 2: (0, [])})):
         bench = spark.createDataFrame(named, "item_id long, text string")
-        for p in (decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(block_bytes=60)):
+        for p in (decontaminate.DecontaminationParams(), decontaminate.DecontaminationParams(block_phrases=20)):
             found = {r["doc_id"]: (sum(r["spans"][1::2]) - sum(r["spans"][::2]), list(r["items"])) for r in decontaminate.find(docs, bench, p).collect()}
             assert found == want
     out = {r["doc_id"]: r["_new"] for r in decontaminate.retext(docs, bench).collect()}
