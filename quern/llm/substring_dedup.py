@@ -6,17 +6,22 @@ have equal keys.
 
 1. Each task counts its documents' keys, once a document, in a count-min sketch; the sketches are summed block by block. A
    sketch never counts too low, and a key counts at least as often as any of its windows, so every window that two
-   documents share has an estimate of two or more. Only the bits "two or more" come back: their size is a parameter.
+   documents share has an estimate of two or more. Only the bits "two or more" come back.
 2. A second pass keeps the runs of windows whose key is estimated repeated, as one row each, and groups them exactly by
    key. Where all runs of a key hold the same words, the least id decides for whole runs.
-3. Where runs of a key differ, a third pass groups their single windows exactly, by 128-bit hashes.
-4. The removed spans of each document join back to it.
+3. Where runs of a key differ, a third pass over their documents groups single windows exactly, by 128-bit hashes.
+4. The removed spans of each document join back to it; documents without any pass by.
 
-Groups are reduced to minima before the shuffle, and joins are plain, so that adaptive execution splits a hot key. No
-window is dropped and no pair of documents is formed.
+Size: the sketch has two cells or more for each key of the corpus up to 2^``most_bits`` cells a row (64 MB of bits for
+both, at about 17 GB of text). Beyond, it passes more keys that occur once, up to all of them, and the second step is what it would be
+without a prefilter: one narrow row for each run of windows, about 0.3 x the text. No window is lost at any size.
+
+Groups are reduced to minima before the shuffle, and minima are written before they join, so that adaptive execution
+splits a hot key. No window is dropped and no pair of documents is formed.
 
 Defined results: a null text has no words; a null id counts as larger than all ids; documents of one id do not remove each
-other's windows; repeated rows fare alike; an empty table gives an empty result; other columns are ignored.
+other's windows; repeated rows fare alike; an empty table gives an empty result; ids are whole numbers (a TypeError
+otherwise); other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepare, staged
-from quern.llm.sketch import Counter, merged_bits, reached
+from quern.llm.common import column_udf, prepare, resident, staged, task, whole_ids
+from quern.llm.sketch import BLOCKS, Counter, merged_bits, reached
 from quern.llm.wordhash import WordHasher, sliding_min
 
 _LAST = (1 << 63) - 1
@@ -43,16 +48,18 @@ class SubstringParams:
     gram: int = 10
     #: Cells of a sketch row as a power of two: by the corpus's size, between these.
     least_bits: int = 16
-    most_bits: int = 25
+    most_bits: int = 28
     #: A key for about so many bytes of text, to size the sketch.
     bytes_per_key: int = 128
+    #: Up to so many marks of documents (20 MB) are sent to choose texts by; beyond, texts are shuffled to their spans.
+    sent: int = 1_000_000
 
 
 class _Reader:
     """Keys and runs of a text."""
 
     def __init__(self, p: SubstringParams):
-        self.p, self.hasher = p, WordHasher()
+        self.p, self.hasher = p, resident("substring", "hasher", WordHasher)
 
     def keys(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes, and the key of every window."""
@@ -61,7 +68,6 @@ class _Reader:
             return h, np.zeros(0, np.uint64)
         return h, sliding_min(self.hasher.windows(h, self.p.gram), self.p.window - self.p.gram + 1)
 
-
     def both(self, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of the words of each stretch."""
         return self.hasher.spans(h, first, end, 0), self.hasher.spans(h, first, end, 1)
@@ -87,21 +93,26 @@ def sketch_keys(rows: DataFrame, p: SubstringParams, bits: int) -> np.ndarray:
         reader, counter = _Reader(p), Counter(bits)
         for batch in batches:
             for text in batch["_text"]:
-                counter.add(np.unique(reader.keys(text)[1]))
+                yield from counter.add(np.unique(reader.keys(text)[1]))
         yield from counter.blocks()
 
-    return merged_bits(rows.select("_text").mapInPandas(run, "block long, data binary"), bits, 2)[0]
+    return merged_bits(rows.select("_text").mapInPandas(task("substring", run), BLOCKS), bits, 2)[0]
+
+
+def _marked(rows: DataFrame, marks: DataFrame, n: int, p: SubstringParams) -> DataFrame:
+    """The rows with one of n marks; all rows where the marks are too many to be sent."""
+    return rows.join(F.broadcast(marks), "_mark", "left_semi") if n <= p.sent else rows
 
 
 def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows as _id, _text, _row (all its columns), and _first, _n: arrays of the removed stretches of words
-    (first word, words)."""
+    """The input's rows as _row (all its columns), _text, and _first, _n: arrays of the removed stretches of words
+    (first word, words), null where there are none."""
     p = p or SubstringParams()
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     prepare(spark)
-    rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text_col).isNull().alias("_null")).alias("_row"))
-    rows = rows.withColumn("_order", F.coalesce(F.col("_id").cast("long"), F.lit(_LAST))).withColumn("_print", F.xxhash64("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_order"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_print", F.xxhash64("_text")).withColumn("_mark", F.xxhash64("_order", "_print"))
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     bits = int(np.clip(int(2 * size / p.bytes_per_key).bit_length(), p.least_bits, p.most_bits))
     repeated = spark.sparkContext.broadcast(sketch_keys(rows, p, bits))
@@ -123,20 +134,23 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
             if out:
                 yield _frame(out, ["_order", "_print", "_key", "_a", "_b", "_first", "_n"])
 
-    runs = staged(rows.select("_order", "_print", "_text").mapInPandas(emit_runs, "_order long, _print long, _key long, _a long, _b long, _first int, _n int"), "runs")
+    runs = staged(rows.select("_order", "_print", "_text").mapInPandas(task("substring", emit_runs), "_order long, _print long, _key long, _a long, _b long, _first int, _n int"), "runs")
     body = F.struct("_a", "_b")
     by_key = runs.groupBy("_key").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most"), F.min(body).alias("_low"), F.max(body).alias("_high"))
     by_key = staged(by_key.filter(F.col("_least") < F.col("_most")).select("_key", "_least", (F.col("_low") != F.col("_high")).alias("_mixed")), "keys")
     same = runs.join(by_key.filter(~F.col("_mixed")), "_key").filter(F.col("_order") > F.col("_least")).select("_order", "_print", "_first", "_n")
 
     # keys whose runs differ, as bits again: exact grouping follows, so a key that shares its cells costs time only
+    mixed_keys = by_key.filter("_mixed").select("_key")
+
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(bits)
         for batch in batches:
-            counter.add(batch["_key"].to_numpy().view(np.uint64))
+            yield from counter.add(batch["_key"].to_numpy().view(np.uint64))
         yield from counter.blocks()
 
-    mixed = spark.sparkContext.broadcast(merged_bits(by_key.filter("_mixed").select("_key").mapInPandas(mark, "block long, data binary"), bits, 1)[0])
+    mixed = spark.sparkContext.broadcast(merged_bits(mixed_keys.mapInPandas(task("substring", mark), BLOCKS), bits, 1)[0])
+    open_ = staged(runs.join(mixed_keys, "_key", "left_semi").select(F.xxhash64("_order", "_print").alias("_mark")).distinct(), "open")
 
     def emit_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(p)
@@ -150,12 +164,21 @@ def removed_spans(docs: DataFrame, p: SubstringParams | None = None, id_col: str
             if out:
                 yield _frame(out, ["_order", "_print", "_a", "_b", "_first"])
 
-    windows = staged(rows.select("_order", "_print", "_text").mapInPandas(emit_windows, "_order long, _print long, _a long, _b long, _first int"), "windows")
+    third = _marked(rows, open_, open_.count(), p).select("_order", "_print", "_text")
+    windows = staged(third.mapInPandas(task("substring", emit_windows), "_order long, _print long, _a long, _b long, _first int"), "windows")
     least = windows.groupBy("_a", "_b").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most")).filter(F.col("_least") < F.col("_most"))
-    single = windows.join(least.drop("_most"), ["_a", "_b"]).filter(F.col("_order") > F.col("_least")).select("_order", "_print", "_first", F.lit(p.window).alias("_n"))
+    # written, so that the join with all windows reads plain shuffles on both sides, which can be split
+    least = staged(least.drop("_most"), "least")
+    single = windows.join(least, ["_a", "_b"]).filter(F.col("_order") > F.col("_least")).select("_order", "_print", "_first", F.lit(p.window).alias("_n"))
     spans = same.unionByName(single).groupBy("_order", "_print").agg(F.collect_set(F.struct("_first", "_n")).alias("_spans"))
-    out = rows.join(spans, ["_order", "_print"], "left")
-    return out.select("_id", "_text", "_row", F.col("_spans._first").alias("_first"), F.col("_spans._n").alias("_n"))
+    spans = staged(spans.select("_order", "_print", "_spans", F.xxhash64("_order", "_print").alias("_mark")), "spans")
+    marks, n = spans.select("_mark").distinct(), spans.count()
+    out = ["_row", "_text", "_spans"]
+    joined = _marked(rows, marks, n, p).join(spans.drop("_mark"), ["_order", "_print"], "left").select(*out)
+    if n <= p.sent:
+        none = F.lit(None).cast(spans.schema["_spans"].dataType)
+        joined = joined.unionByName(rows.join(F.broadcast(marks), "_mark", "left_anti").withColumn("_spans", none).select(*out))
+    return joined.select("_row", "_text", F.col("_spans._first").alias("_first"), F.col("_spans._n").alias("_n"))
 
 
 def kept_mask(n_words: int, first, n) -> np.ndarray:
@@ -170,40 +193,41 @@ def kept_mask(n_words: int, first, n) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words (the text itself where none is removed)."""
-    spans = removed_spans(docs, p, id_col, text_col)
+    """Id, n_words, n_removed, kept_sha256, and with keep_text the kept words (the text itself where none is removed)."""
+    spans = removed_spans(docs.select(id_col, text_col), p, id_col, text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, firsts, sizes in batches:
             out = []
-            for key, text, first, n in zip(batch["_id"], batch["_text"], batch["_first"], batch["_n"], strict=True):
+            for text, first, n in zip(texts, firsts, sizes, strict=True):
                 words = text.encode("utf-8", "replace").split()
                 mask = kept_mask(len(words), first, n)
                 kept = b" ".join(words if mask.all() else [words[i] for i in np.flatnonzero(mask)])
-                row = (key, len(words), int(len(words) - mask.sum()), hashlib.sha256(kept).hexdigest())
+                row = (len(words), int(len(words) - mask.sum()), hashlib.sha256(kept).hexdigest())
                 out.append(row + ((text if mask.all() else kept.decode("utf-8", "replace"),) if keep_text else ()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return spans.select("_id", "_text", "_first", "_n").mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    made = column_udf("substring", "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text, run)
+    return spans.select(F.col(f"_row.`{id_col}`").alias(id_col), made("_text", "_first", "_n").alias("_m")).select(id_col, "_m.*")
 
 
 def retext(docs: DataFrame, p: SubstringParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns, _new (the kept words; the text itself, or null, where none is removed) and _changed."""
+    """The input's columns but the text, _new (the kept words; the text itself, or null, where none is removed) and _changed."""
     spans = removed_spans(docs, p, id_col, text_col)
 
-    @F.pandas_udf("string")
-    def kept(texts: pd.Series, firsts: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for text, first, n in zip(texts, firsts, sizes, strict=True):
-            if first is None or not len(first):
-                out.append(text)
-                continue
-            words = text.encode("utf-8", "replace").split()
-            out.append(b" ".join([words[i] for i in np.flatnonzero(kept_mask(len(words), first, n))]).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, firsts, sizes in batches:
+            out = []
+            for text, first, n in zip(texts, firsts, sizes, strict=True):
+                if first is None or not len(first):
+                    out.append(None)
+                    continue
+                words = text.encode("utf-8", "replace").split()
+                out.append(b" ".join([words[i] for i in np.flatnonzero(kept_mask(len(words), first, n))]).decode("utf-8", "replace"))
+            yield pd.Series(out, dtype=object)
 
+    kept = column_udf("substring", "string", run)
     changed = F.coalesce(F.size("_first") > 0, F.lit(False))
-    new = F.when(F.col("_row._null"), F.lit(None)).otherwise(kept("_text", "_first", "_n"))
     names = [c for c in docs.columns if c != text_col]
-    return spans.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], new.alias("_new"), changed.alias("_changed"))
+    made = spans.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col(f"_row.`{text_col}`").alias("_old"), changed.alias("_changed"), kept("_text", "_first", "_n").alias("_kept"))
+    return made.select(*[F.col(f"`{c}`") for c in names], F.when(F.col("_changed"), F.col("_kept")).otherwise(F.col("_old")).alias("_new"), "_changed")
