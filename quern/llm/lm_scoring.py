@@ -3,7 +3,8 @@
 Training counts words, pairs and triples over every training document. The trie has three levels, each in shards that tasks
 write to the folder all executors share and later tasks map into memory:
 
-1. words by their 64-bit hashes, with counts; a word's id is its rank;
+1. words by their 64-bit hashes as an Elias-Fano sequence, with counts of one byte and a list of the larger ones; a word's
+   id is its rank;
 2. pairs (u, w) seen ``min_count`` times or more (all by default), in order of u then w, as one Elias-Fano sequence a shard, with the
    pointers to where each u's successors begin as another;
 3. triples (u, v, w): the node of (u, v), then the rank of w among the successors of v, as Elias-Fano sequences. A triple is
@@ -13,18 +14,20 @@ Probabilities are interpolated by absolute discounting: what a context takes off
 dropped ones had, goes to the shorter context; words end in add-one estimates over the vocabulary and one unknown word. So
 every context's probabilities sum to one, up to the quantisation of logarithms to 1/4096.
 
-Sizes: a task counts in blocks of ``block_tokens``, sorted and packed before the shuffle; shards are by size of the corpus, so
-each is bounded; the driver sees one row of totals a shard.
+Sizes: a task counts in blocks of ``block_tokens``, sorted and packed before the shuffle; shards are by size of the corpus
+and built one after the other in a task; the driver sees one row of totals a shard. A word's successors lie in one shard, so
+the largest shard grows with the successors of the most frequent word. Keys are 64-bit numbers; a corpus with more words
+or pairs than they can tell apart is refused with an error.
 
 Defined results: a null or empty text is the end token alone; without training documents all words are unknown and every
-score is 0; repeated rows count and score each; words whose 64-bit hashes are equal are one word; other columns are ignored.
+score is 0; repeated rows count and score each; words whose 64-bit hashes are equal are one word; ids may
+be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_folder, prepare, staged
+from quern.llm.common import column_udf, new_folder, prepare, resident, staged, task
 from quern.llm.elias_fano import EliasFano, dump, load, pack
 from quern.llm.wordhash import WordHasher
 
@@ -44,9 +47,9 @@ _STEP = 4096.0
 class LmParams:
     min_count: int = 1
     discount: float = 0.5
-    block_tokens: int = 2_000_000
+    block_tokens: int = 1_000_000
     #: Text bytes for each shard of a level.
-    shard_bytes: int = 32_000_000
+    shard_bytes: int = 8_000_000
     least_shards: int = 8
 
 
@@ -54,7 +57,7 @@ class LmParams:
 
 
 def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    from pyarrow.fs import FileSystem
+    from pyarrow.fs import FileSystem, FileType
     from pyspark import TaskContext
 
     fs, root = FileSystem.from_uri(folder)
@@ -62,11 +65,16 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     attempt = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
     with fs.open_output_stream(attempt, compression=None) as out:
         out.write(dump(arrays))
-    fs.move(attempt, f"{root}/{name}")
+    try:
+        fs.move(attempt, f"{root}/{name}")
+    except OSError:
+        # an earlier attempt has moved the same shard there, and the store doesn't replace files
+        if fs.get_file_info(f"{root}/{name}").type == FileType.NotFound:
+            raise
+        fs.delete_file(attempt)
 
 
-@lru_cache(4096)
-def _open(folder: str, name: str) -> dict[str, np.ndarray]:
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
     """A file's arrays: mapped where the folder is a mounted one, else read."""
     from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 
@@ -121,25 +129,30 @@ _PACKED = "shard int, n int, data binary"
 
 
 def _built(packed: DataFrame, shards: int, build, schema: str) -> DataFrame:
-    """Runs ``build(shard, keys, counts)`` once a shard over the sums of its packed rows, merged as they come."""
-    spread = packed.repartition(shards, "shard")
+    """Runs ``build(shard, keys, counts)`` once a shard over the sums of its packed rows, one shard after the other."""
+    spread = packed.repartition(shards, "shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-        sizes: dict[int, int] = {}
+        at, own, size = -1, [], 0
         for batch in batches:
             for shard, n, data in zip(batch["shard"], batch["n"], batch["data"], strict=True):
-                own = held.setdefault(shard, [])
+                if shard != at:
+                    if own:
+                        yield build(at, *_merged(own))
+                    at, own, size = int(shard), [], 0
                 own.append(_unpacked(n, data))
-                sizes[shard] = sizes.get(shard, 0) + n
-                if sizes[shard] > 4_000_000 and len(own) > 1 and sizes[shard] > 2 * len(own[0][0]):
-                    own[:] = [_sums(*(np.concatenate(x) for x in zip(*own, strict=True)))]
-                    sizes[shard] = len(own[0][0])
-        for shard in sorted(held):
-            own = held.pop(shard)
-            yield build(int(shard), *_sums(*(np.concatenate(x) for x in zip(*own, strict=True))))
+                size += n
+                if size > 1_000_000 and len(own) > 1 and size > 2 * len(own[0][0]):
+                    own[:] = [_merged(own)]
+                    size = len(own[0][0])
+        if own:
+            yield build(at, *_merged(own))
 
-    return staged(spread.mapInPandas(run, schema), "levels")
+    return staged(spread.mapInPandas(task("lm", run), schema), "levels")
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return parts[0] if len(parts) == 1 else _sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 # ---------------------------------------------------------------- the model
@@ -174,6 +187,18 @@ class LmModel:
     def span(self) -> int:
         return self.n_words + 2
 
+    @property
+    def id_type(self) -> str:
+        """Word ids as they are stored: four bytes as long as they fit."""
+        return "<i4" if self.span < 1 << 31 else "<i8"
+
+    def check(self) -> None:
+        """Keys of pairs and triples are 64-bit numbers."""
+        if self.span**2 >= 1 << 63:
+            raise OverflowError(f"{self.n_words} distinct words are too many for 64-bit pair keys")
+        if self.pairs and self.pairs[-1] * self.fanout >= 1 << 63:
+            raise OverflowError(f"{self.pairs[-1]} pairs of up to {self.fanout} successors are too many for 64-bit triple keys")
+
     def shard_of(self, context: np.ndarray) -> np.ndarray:
         """Level-2 shard of a context word: equal stretches of ids."""
         return context * self.shards // self.span
@@ -191,10 +216,9 @@ class LmModel:
             cut = np.searchsorted(own >> np.uint64(32), np.arange(self.shards + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(self.shards))
             for s in range(self.shards):
                 a, b = cut[s], cut[s + 1]
-                table = _open(self.folder, f"words-{s}").get("h") if b > a else None
-                if table is not None and len(table):
-                    at = np.minimum(np.searchsorted(table, own[a:b]), len(table) - 1)
-                    out[a:b] = np.where(table[at] == own[a:b], at + self.words[s], self.unknown)
+                if b > a and (f := _level(self.folder, f"words-{s}")) is not None:
+                    at = f["h"].find(own[a:b])
+                    out[a:b] = np.where(at >= 0, at + self.words[s], self.unknown)
         return out[back]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -204,7 +228,7 @@ class LmModel:
         for s in np.unique(shard):
             if 0 <= s < self.shards:
                 own = shard == s
-                out[own] = _open(self.folder, f"words-{s}")["c"][ids[own] - self.words[s]]
+                out[own] = _count_at(_level(self.folder, f"words-{s}"), ids[own] - self.words[s])
         out[ids == self.start] = self.n_docs
         out[ids == self.unknown] = 0
         return out
@@ -241,7 +265,7 @@ class LmModel:
         return self._by(self.pair_shard(pair), len(pair), "pairs", lambda f, own, s: f["q"][pair[own] - self.pairs[s]] / -_STEP)
 
     def pair_count(self, pair: np.ndarray) -> np.ndarray:
-        return self._by(self.pair_shard(pair), len(pair), "pairs", lambda f, own, s: f["c"][pair[own] - self.pairs[s]])
+        return self._by(self.pair_shard(pair), len(pair), "pairs", lambda f, own, s: _count_at(f, pair[own] - self.pairs[s]))
 
     def second(self, pair: np.ndarray) -> np.ndarray:
         """The second word of each pair."""
@@ -304,22 +328,37 @@ class LmModel:
         return out, base, known
 
 
-@lru_cache(4096)
 def _level(folder: str, name: str) -> dict | None:
     """A shard of level 2 or 3 with its sequences ready, or None where it was not written."""
-    if not (arrays := _open(folder, name)):
+    return resident("lm", (folder, name, "level"), lambda: _ready(_mapped(folder, name)))
+
+
+def _ready(arrays: dict[str, np.ndarray]) -> dict | None:
+    if not arrays:
         return None
-    out: dict = {"base": int(arrays["base"][0]), "keys": EliasFano({k[5:]: v for k, v in arrays.items() if k.startswith("keys.")})}
-    out |= {k: arrays[k] for k in ("q", "c", "left") if k in arrays}
-    if "pointers.head" in arrays:
-        out["pointers"] = EliasFano({k[9:]: v for k, v in arrays.items() if k.startswith("pointers.")})
-    return out
+    sequence = lambda name: EliasFano({k[len(name) + 1 :]: v for k, v in arrays.items() if k.startswith(name + ".")})
+    out: dict = {"base": int(arrays["base"][0])}
+    out |= {name: sequence(name) for name in ("keys", "pointers", "h") if f"{name}.head" in arrays}
+    return out | {k: v for k, v in arrays.items() if "." not in k and k != "base"}
 
 
 def _sequence(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in pack(values).items()}
 
 
+def _counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """One byte a count; counts of 255 and more stand in a list of their own, by place."""
+    many = np.flatnonzero(counts >= 255)
+    return {"few": np.minimum(counts, 255).astype(np.uint8), "where": many.astype(np.int64), "many": counts[many].astype(np.int64)}
+
+
+def _count_at(f: dict, at: np.ndarray) -> np.ndarray:
+    out = f["few"][at].astype(np.int64)
+    if len(over := np.flatnonzero(out == 255)):
+        out[over] = f["many"][np.searchsorted(f["where"], at[over])]
+    return out
+
+
 def _quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 * _STEP), 0, 65535).astype(np.uint16)
 
@@ -333,12 +372,12 @@ def _left(kept: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"))
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"))
 
 
 def _count_words(rows: DataFrame, shards: int, p: LmParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, held, total = WordHasher(lower=True), [], 0
+        hasher, held, total = resident("lm", "hasher", lambda: WordHasher(lower=True)), [], 0
         end = hasher.hashes([_END])
         done = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -363,15 +402,15 @@ def _count_words(rows: DataFrame, shards: int, p: LmParams) -> DataFrame:
         if len(done[0]):
             yield rows_of(*done)
 
-    return rows.filter("_train").select("_text").mapInPandas(run, _PACKED)
+    return rows.filter("_train").select("_text").mapInPandas(task("lm", run), _PACKED)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], p: LmParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pd.DataFrame], p: LmParams, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Joined ids of several texts, and a mark at each text's first token."""
     held, total = [], 0
     for batch in batches:
         for raw in batch["ids"]:
-            held.append(np.frombuffer(raw, "<i4"))
+            held.append(np.frombuffer(raw, kind))
             total += len(held[-1])
             if total >= p.block_tokens:
                 yield _joined(held)
@@ -397,7 +436,7 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
     folder, n_docs = new_folder(spark, "trie"), int(size["n"] or 0)
 
     def words(shard: int, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        _write(folder, f"words-{shard}", {"h": keys, "c": counts})
+        _write(folder, f"words-{shard}", {"base": np.array([0]), **_sequence("h", keys), **_counts(counts)})
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "most": [0]})
 
     totals = "shard int, n long, total long, most long"
@@ -405,24 +444,25 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
     firsts = lambda found: tuple(int(x) for x in np.concatenate(([0], np.cumsum([found[s]["n"] if s in found else 0 for s in range(shards)]))))
     one = LmModel(folder, shards, p.discount, firsts(made), (0,), sum(r["total"] for r in made.values()), n_docs)
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher(lower=True)
+    one.check()
+
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = resident("lm", "hasher", lambda: WordHasher(lower=True))
         end = hasher.hashes([_END])
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                held = [np.concatenate((hasher.hashes(hasher.words(t)), end)) for t in part["_text"]]
-                ids = one.ids(np.concatenate(held)).astype("<i4")
+        for texts in batches:
+            for at in range(0, len(texts), 500):
+                held = [np.concatenate((hasher.hashes(hasher.words(t)), end)) for t in texts.iloc[at : at + 500]]
+                ids = one.ids(np.concatenate(held)).astype(one.id_type)
                 cuts = np.cumsum([len(x) for x in held])[:-1]
-                yield pd.DataFrame({"_id": part["_id"].astype("Int64"), "_train": part["_train"], "ids": [x.tobytes() for x in np.split(ids, cuts)]})
+                yield pd.Series([x.tobytes() for x in np.split(ids, cuts)], dtype=object)
 
-    numbered = staged(rows.mapInPandas(number, "_id long, _train boolean, ids binary"), "ids")
+    numbered = staged(rows.select("_id", "_train", column_udf("lm", "binary", number)("_text").alias("ids")), "ids")
     if not one.n_words:
         return one, numbered
     trained = numbered.filter("_train").select("ids")
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, first in _blocks(batches, p):
+        for ids, first in _blocks(batches, p, one.id_type):
             u = np.concatenate(([one.start], ids[:-1]))
             u[first] = one.start
             keys, counts = _sums((u * one.span + ids).astype(np.uint64))
@@ -441,14 +481,14 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         word, back = np.unique(w, return_inverse=True)
         logs = np.log10(taken / size[u - low] + 10 ** (left[u - low] + one.log_word(word)[back])) if len(u) else np.zeros(0)
         begins = np.concatenate(([0], np.cumsum(np.bincount(u - low, minlength=high - low))))
-        _write(folder, f"pairs-{shard}", {"base": np.array([low]), **_sequence("keys", keys - np.uint64(low) * np.uint64(one.span)), **_sequence("pointers", begins), "q": _quantised(logs), "c": counts.astype(np.int64), "left": _quantised(left)})
+        _write(folder, f"pairs-{shard}", {"base": np.array([low]), **_sequence("keys", keys - np.uint64(low) * np.uint64(one.span)), **_sequence("pointers", begins), "q": _quantised(logs), **_counts(counts), "left": _quantised(left)})
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "most": [int(np.diff(begins).max(initial=0))]})
 
-    made = {r["shard"]: r for r in _built(trained.mapInPandas(count_pairs, _PACKED), shards, pairs, totals).collect()}
+    made = {r["shard"]: r for r in _built(trained.mapInPandas(task("lm", count_pairs), _PACKED), shards, pairs, totals).collect()}
     two = LmModel(folder, shards, p.discount, one.words, firsts(made), one.n_tokens, n_docs, max([1, *(r["most"] for r in made.values())]))
 
     def count_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, first in _blocks(batches, p):
+        for ids, first in _blocks(batches, p, one.id_type):
             u = np.concatenate(([two.start], ids[:-1]))
             u[first] = two.start
             _, at, back = np.unique(u * two.span + ids, return_index=True, return_inverse=True)
@@ -477,7 +517,8 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         _write(folder, f"triples-{shard}", {"base": np.array([low]), **_sequence("keys", keys - np.uint64(low) * np.uint64(two.fanout)), "q": _quantised(logs), "left": _quantised(left)})
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "most": [0]})
 
-    _built(trained.mapInPandas(count_triples, _PACKED), shards, triples, totals)
+    two.check()
+    _built(trained.mapInPandas(task("lm", count_triples), _PACKED), shards, triples, totals)
     return two, numbered
 
 
@@ -485,24 +526,25 @@ def score(numbered: DataFrame, model: LmModel, p: LmParams | None = None, id_col
     """Id, n_tokens, n_known, train_tokens, base_score, score of every document of a table of token ids."""
     p = p or LmParams()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(keys: list, held: list[np.ndarray]) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def flush(held: list[np.ndarray]) -> pd.DataFrame:
             ids, first = _joined(held)
             log, base, known = model.score(ids, first)
             at = np.flatnonzero(first)
             sums = lambda x: np.add.reduceat(x, at)
-            return pd.DataFrame({"_id": pd.array(keys, "Int64"), "n_tokens": [len(x) for x in held], "n_known": sums(known.astype(np.int64)), "train_tokens": model.n_tokens, "base_score": sums(base), "score": sums(log)})
+            return pd.DataFrame({"n_tokens": [len(x) for x in held], "n_known": sums(known.astype(np.int64)), "base_score": sums(base), "score": sums(log)})
 
-        keys, held, total = [], [], 0
+        held, total = [], 0
         for batch in batches:
-            for key, raw in zip(batch["_id"], batch["ids"], strict=True):
-                keys.append(None if pd.isna(key) else int(key))
-                held.append(np.frombuffer(raw, "<i4"))
+            for raw in batch:
+                held.append(np.frombuffer(raw, model.id_type))
                 total += len(held[-1])
                 if total >= p.block_tokens:
-                    yield flush(keys, held)
-                    keys, held, total = [], [], 0
+                    yield flush(held)
+                    held, total = [], 0
         if held:
-            yield flush(keys, held)
+            yield flush(held)
 
-    return numbered.select("_id", "ids").mapInPandas(run, "_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("_id", id_col)
+    made = column_udf("lm", "n_tokens long, n_known long, base_score double, score double", run)("ids")
+    rows = numbered.select(F.col("_id").alias(id_col), made.alias("_m"))
+    return rows.select(id_col, "_m.n_tokens", "_m.n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "_m.base_score", "_m.score")
