@@ -6,8 +6,12 @@ every other way to fill a sequence with their largest piece (Martello and Toth's
 fit, longest first. Each piece then finds its place by its rank among the pieces of its length, counted without a
 single-task sort: ranks inside (length, bucket) groups plus sums of the groups before.
 
+Texts are coded word by word where the tokenizer allows it, which is tried on probe texts when it is loaded; another
+tokenizer gets whole texts.
+
 Defined results: a null text is the empty text, one piece of the end id alone; repeated rows are packed once each; an
-empty table gives an empty result; special tokens' strings in a text are ordinary text; other columns are ignored.
+empty table gives an empty result; special tokens' strings in a text are ordinary text; ids may be of any type; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +23,13 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepare, staged, tasks_for
+from quern.llm.common import column_udf, prepare, resident, staged, tasks_for
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,17 @@ _PART = "\x01"
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+#: A tokenizer whose ids of these, word by word, differ from its ids of the whole is one that looks across words.
+_PROBES = (
+    "",
+    " ",
+    "One two  THREE\tfour\n\nfive, six; seven.",
+    "it's (a) test: #1 $2 %3 -- end... l'école NÄHE straße ñandú",
+    "café é Å 你好 😀 <|endoftext|> x_y z@w 3.14 a1b2",
+    "word " * 40 + "unbreakablelowercasewordofsomelength",
+)
+
+
 def _visible() -> dict[int, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -74,6 +88,10 @@ class WordCoder:
         self.older: dict[bytes, bytes] = {}
         part = self._ids(_PART)
         self.part = int(part[0]) if len(part) == 1 else None
+        #: Whether texts may be coded word by word: else each text goes to the tokenizer whole.
+        self.by_words = True
+        self.by_words = all(own == self._ids(t).tobytes() for t, own in zip(_PROBES, self.encode(list(_PROBES)), strict=True))
+        self.known, self.older = {}, {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -118,36 +136,30 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.words(t) for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-@lru_cache(2)
-def _coder(path: str, most: int) -> WordCoder:
-    """One for each Python worker, kept from task to task."""
-    return WordCoder(path, most)
-
-
 def pieces(docs: DataFrame, p: PackingParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; a map over the rows."""
+    """Id, piece, start, length, ids_crc32 of every piece; a map over the rows. The id may be of any type."""
     most, end = p.capacity * 4, np.array([p.end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _coder(p.tokenizer, p.cache)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                out: list[tuple] = []
-                for key, ids in zip(part["_id"], coder.encode(list(part["_text"])), strict=True):
-                    ids += end
-                    out += [(key, k, s // 4, len(x := ids[s : s + most]) // 4, zlib.crc32(x)) for k, s in enumerate(range(0, len(ids), most))]
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = resident("packing", (p.tokenizer, p.cache), lambda: WordCoder(p.tokenizer, p.cache))
+        for texts in batches:
+            for at in range(0, len(texts), 256):
+                coded = [ids + end for ids in coder.encode(list(texts.iloc[at : at + 256]))]
+                sums = [[zlib.crc32(ids[s : s + most]) for s in range(0, len(ids), most)] for ids in coded]
+                yield pd.DataFrame({"n": [len(ids) // 4 for ids in coded], "sums": sums})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    coded = column_udf("packing", "n long, sums array<long>", run)(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col), coded.alias("_c")).select(id_col, "_c.n", F.posexplode("_c.sums").alias("piece", "ids_crc32"))
+    start = F.col("piece").cast("long") * p.capacity
+    return rows.select(id_col, "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(p.capacity)).cast("long").alias("length"), "ids_crc32")
 
 
 # ---------------------------------------------------------------- the plan, on counts of lengths
@@ -310,12 +322,13 @@ def pack(docs: DataFrame, p: PackingParams, id_col: str = "doc_id", text_col: st
     firsts = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("length", "_bucket").orderBy("_row")
     ranked = marked.withColumn("_at", F.row_number().over(inside) - 1).join(firsts, ["length", "_bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_at")).alias("_rank"))
+    rank = (F.col("_first") + F.col("_at")).alias("_rank")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sequence, offset = plan.value.place(batch["length"].to_numpy(), batch["_rank"].to_numpy())
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for length, ranks in batches:
+            sequence, offset = plan.value.place(length.to_numpy(), ranks.to_numpy())
+            yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    own = [id_col, "piece", "start", "length", "ids_crc32"]
+    placed = column_udf("packing", "sequence_id long, offset long", place)("length", rank)
+    return ranked.select(*own, placed.alias("_p")).select(*own, "_p.sequence_id", "_p.offset")
