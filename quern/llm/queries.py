@@ -121,7 +121,7 @@ FROM g
 """
 )
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = warc.round_trip(_table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    back = warc.round_trip(_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
