@@ -4,8 +4,9 @@ Texts are multisets of shingles of ``shingle`` words (ASCII white space parts th
 but not none, is one shingle. Two texts are linked when the weighted Jaccard similarity of their multisets is at least
 ``threshold``; classes are the components of the links, named by their smallest id.
 
-1. Texts with equal multisets collapse into one node first, named by their smallest id, so thousands of copies are one row.
-2. Nodes get BagMinHash signatures. Nodes that agree in a whole band are candidates.
+1. Texts with equal multisets collapse into one numbered node first, so thousands of copies are one row.
+2. Nodes get BagMinHash signatures. Nodes that agree in a whole band are candidates; their multisets are written once, from
+   one shuffle of the texts to their nodes, at every size of the input alike.
 3. In every bucket each node is checked against the bucket's first node, then, unless links already join them, against its
    last. A pair is checked on its signatures (a pair of similarity 0.8 falls under the bound by chance once in a million),
    then on its multisets. The components of the links are formed.
@@ -18,9 +19,9 @@ The order comes from count-min sketches, which never count too low: a shingle th
 hot bucket of copies that drifted apart costs about its size, not its square, and no link is lost. Nothing is collected:
 components spread by least labels with pointer jumps, in tables written to the shared folder.
 
-Defined results: a text without words is in a class of its own; rows that share an id are in one class; a null id gets the
-class of its copies, and the null class if it has none with an id; an empty table gives an empty result; other columns are
-ignored.
+Defined results: a text without words is in a class of its own; rows are judged by their texts, so rows that share an id
+are in one class if their texts are; a null id gets the class of its copies, and the null class if no row of its class has
+an id; ids may be of any type that Spark can order; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bagminhash import signature, similarity
-from quern.llm.common import compact, prepare, staged
+from quern.llm.common import column_udf, compact, prepare, resident, staged, task
 from quern.llm.sketch import BLOCKS, Counter, merged_bits, reached
 from quern.llm.textfeatures import mix
 from quern.llm.wordhash import WordHasher
@@ -42,8 +43,6 @@ from quern.llm.wordhash import WordHasher
 
 #: Shingles are ordered by how many of these counts they reach among the open nodes.
 _STEPS = (2, 4, 16, 64, 200)
-#: So many ids (16 MB of numbers) go to the executors to choose texts by; beyond that texts are shuffled to the ids.
-_SENT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +53,10 @@ class NearDupParams:
     rows: int = 5
     #: Signatures that agree in a smaller share of places are not checked further.
     floor: float = 0.6
+    #: Cells of the sketch that orders shingles, as a power of two, at most; it chooses an order, never a result.
+    most_bits: int = 28
+    #: Up to so many keys of rows (40 MB) are sent to drop rows by; beyond, rows are shuffled to the keys.
+    sent: int = 1_000_000
 
     @property
     def places(self) -> int:
@@ -62,7 +65,7 @@ class NearDupParams:
 
 class _Shingler:
     def __init__(self, p: NearDupParams):
-        self.p, self.hasher = p, WordHasher(lower=True)
+        self.p, self.hasher = p, resident("near_dup", "hasher", lambda: WordHasher(lower=True))
 
     def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingle hashes, and their counts."""
@@ -79,46 +82,56 @@ def _print(h: np.ndarray, n: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.int64(x.view(np.int64))) for x in lanes)
 
 
+def _row_key(id_col: str, text_col: str):
+    """16 bytes for a row's id and text: rows that repeat both have one key."""
+    own = F.col(id_col).cast("string")
+    return F.unhex(F.md5(F.concat(F.when(own.isNull(), "n").otherwise(F.concat(F.lit("i"), F.octet_length(own).cast("string"), F.lit(":"), own)), F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def signed(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
-    """_id, _a, _b (the multiset's print; null without words), _sig (little-endian 32-bit places) of every row."""
+    """_id, _rid, _a, _b (the multiset's print; null without words), _sig (little-endian 32-bit places) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = _Shingler(p)
         last: dict[tuple[int, int], bytes] = {}
         for batch in batches:
             out = []
-            for key, text in zip(batch["_id"], batch["_text"], strict=True):
+            for text in batch:
                 h, n = shingler.bag(text)
                 if not len(h):
-                    out.append((key, None, None, None))
+                    out.append((0, 0, None))
                     continue
                 own = _print(h, n)
                 if own not in last:
                     if len(last) > 2000:
                         last.clear()
                     last[own] = signature(h, n, p.places).astype("<u4").tobytes()
-                out.append((key, *own, last[own]))
-            frame = pd.DataFrame(out, columns=["_id", "_a", "_b", "_sig"])
-            yield frame.astype({"_id": "Int64", "_a": "Int64", "_b": "Int64"})
+                out.append((*own, last[own]))
+            yield pd.DataFrame(out, columns=["a", "b", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(run, "_id long, _a long, _b long, _sig binary")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), _row_key(id_col, text_col).alias("_rid"), column_udf("near_dup", "a long, b long, sig binary", run)(text).alias("_s"))
+    there = F.col("_s.sig").isNotNull()
+    return rows.select("_id", "_rid", F.when(there, F.col("_s.a")).alias("_a"), F.when(there, F.col("_s.b")).alias("_b"), F.col("_s.sig").alias("_sig"))
 
 
-def bags(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """node, h, n: the multisets of the documents that are named."""
+def bags(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str, named: DataFrame) -> DataFrame:
+    """node, h, n: the multisets of the texts whose row keys are named (_rid, node), once each.
+
+    Texts are shuffled to the names, at every size of the input, so that repeated rows of a key meet in one task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = _Shingler(p)
+        shingler, seen = _Shingler(p), set()
         for batch in batches:
+            new = [not (x in seen or seen.add(x)) for x in batch["node"]]
+            batch = batch[new]
             found = [shingler.bag(t) for t in batch["_text"]]
             yield pd.DataFrame({"node": batch["node"], "h": [h.tobytes() for h, _ in found], "n": [n.astype("<i4").tobytes() for _, n in found]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    nodes = staged(nodes.distinct(), "named")
-    if nodes.count() <= _SENT:
-        nodes = F.broadcast(nodes)
-    return rows.join(nodes, "node", "left_semi").mapInPandas(run, "node long, h binary, n binary")
+    texts = docs.select(_row_key(id_col, text_col).alias("_rid"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = texts.join(named.select("_rid", "node").hint("shuffle_hash"), "_rid").select("node", "_text")
+    return staged(found.mapInPandas(task("near_dup", run), "node long, h binary, n binary"), "bags")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,21 +196,20 @@ def _linked(p: NearDupParams):
     return run
 
 
-def prefix_keys(nodes: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+def prefix_keys(own: DataFrame, p: NearDupParams) -> DataFrame:
     """node, size, key, rest: the shared shingles of each node's prefix, and the weight from each on, itself included."""
-    spark = docs.sparkSession
-    own = staged(bags(docs, p, id_col, text_col, nodes), "bags")
+    spark = own.sparkSession
     total = own.agg(F.sum(F.octet_length("h") / 8).alias("n")).first()["n"] or 0
-    bits = int(np.clip(int(4 * total).bit_length(), 16, 25))
+    bits = int(np.clip(int(4 * total).bit_length(), 16, p.most_bits))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(bits)
         for batch in batches:
             for h in batch["h"]:
-                counter.add(np.frombuffer(h, np.uint64))
+                yield from counter.add(np.frombuffer(h, np.uint64))
         yield from counter.blocks()
 
-    partials = staged(own.select("h").mapInPandas(count, BLOCKS), "counts")
+    partials = staged(own.select("h").mapInPandas(task("near_dup", count), BLOCKS), "counts")
     steps = spark.sparkContext.broadcast(merged_bits(partials, bits, *_STEPS))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +226,7 @@ def prefix_keys(nodes: DataFrame, docs: DataFrame, p: NearDupParams, id_col: str
             if out:
                 yield pd.concat(out)
 
-    return staged(own.mapInPandas(keys, "node long, size long, key long, rest long"), "keys")
+    return staged(own.mapInPandas(task("near_dup", keys), "node long, size long, key long, rest long"), "keys")
 
 
 def crossing(keys: DataFrame, p: NearDupParams) -> DataFrame:
@@ -227,15 +239,14 @@ def crossing(keys: DataFrame, p: NearDupParams) -> DataFrame:
     return pairs.select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id, n_links (checked links of its node to others)."""
-    p = p or NearDupParams()
+def _classified(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """_id, _rid and _rep of every row: of its class the first (id is null, id, row key)."""
     prepare(docs.sparkSession)
     rows = staged(signed(docs, p, id_col, text_col), "signatures")
-    groups = rows.filter(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.min("_id").alias("node"), F.first("_sig").alias("sig"))
-    groups = staged(groups, "nodes")
-    # a node's id may name two texts: they are one node, and each text's bands lead to it
-    nodes = groups.filter(F.col("node").isNotNull()).select("node", "sig")
+    rep = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))
+    groups = rows.filter(F.col("_a").isNotNull()).groupBy("_a", "_b").agg(F.min(rep).alias("_rep"), F.first("_sig").alias("sig"))
+    # a node is a distinct text; its number is written once, so it is the same wherever it is read
+    nodes = staged(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
     width = 4 * p.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(p.bands)])
     members = nodes.select("node", F.explode(bands).alias("bucket"))
@@ -243,15 +254,16 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
     ends = staged(members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last")), "ends")
     members = staged(members.join(ends, "bucket"), "members")
     sharing = staged(members.select("node").distinct(), "sharing")
-    sigs = staged(nodes.join(sharing, "node", "left_semi").select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "sigs")
+    shared = staged(nodes.join(sharing, "node", "left_semi").select("node", "sig", F.col("_rep.rid").alias("_rid")), "shared")
+    sigs = shared.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    # the multisets of all that may have a link, from one pass over the texts
+    held = bags(docs, p, id_col, text_col, shared)
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sigs, "a").join(sigs.withColumnRenamed("a", "b").withColumnRenamed("sig_a", "sig_b"), "b")
-        near = staged(near.select("a", "b", "sig_a", "sig_b").mapInPandas(_agreeing(p), "a long, b long"), "near")
-        named = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        own = staged(bags(docs, p, id_col, text_col, named), "bags")
-        joined = near.join(own.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na")), "a").join(own.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb")), "b")
-        return staged(joined.select("a", "b", "ha", "na", "hb", "nb").mapInPandas(_linked(p), "a long, b long").distinct(), "found")
+        near = staged(near.select("a", "b", "sig_a", "sig_b").mapInPandas(task("near_dup", _agreeing(p)), "a long, b long"), "near")
+        joined = near.join(held.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na")), "a").join(held.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb")), "b")
+        return staged(joined.select("a", "b", "ha", "na", "hb", "nb").mapInPandas(task("near_dup", _linked(p)), "a long, b long").distinct(), "found")
 
     def labelled(at: DataFrame, comps: DataFrame | None, col: str) -> DataFrame:
         """at with the component of the nodes of a column."""
@@ -260,14 +272,12 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
         named = comps.select(F.col("node").alias(col), F.col("comp").alias("_comp"))
         return at.join(named, col, "left").withColumn(f"{col}_comp", F.coalesce("_comp", col)).drop("_comp")
 
-    links: DataFrame | None = None
     comps: DataFrame | None = None
 
     def link(pairs: DataFrame) -> None:
-        nonlocal links, comps
+        nonlocal comps
         found = verified(staged(pairs, "pairs"))
         if not found.isEmpty():
-            links = found if links is None else links.union(found).distinct()
             comps = merged(comps, found)
 
     for hub in ("first", "last"):
@@ -277,26 +287,37 @@ def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_
     mixed = at.groupBy("bucket").agg(F.min("node_comp").alias("_lo"), F.max("node_comp").alias("_hi")).filter("_lo < _hi").select("bucket")
     left = staged(at.join(mixed, "bucket", "left_semi").select("node").distinct(), "left")
     if not left.isEmpty():
-        keys = labelled(prefix_keys(left, docs, p, id_col, text_col), comps, "node").withColumnRenamed("node_comp", "comp")
+        keys = labelled(prefix_keys(staged(held.join(left, "node", "left_semi"), "open-bags"), p), comps, "node").withColumnRenamed("node_comp", "comp")
         link(crossing(keys, p))
 
-    out = rows.select("_id", "_a", "_b").join(groups.select("_a", "_b", "node"), ["_a", "_b"], "left")
-    out = out.withColumn("node", F.coalesce("node", "_id"))
-    if comps is None:
-        return out.select(F.col("_id").alias(id_col), F.col("node").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links")).join(comps, "node")
-    out = out.join(degree, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("comp", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = nodes.select("node", "_a", "_b", "_rep")
+    if comps is not None:
+        own = named.select("node", "_rep").join(comps, "node")
+        least = staged(own.groupBy("comp").agg(F.min("_rep").alias("_least")), "least")
+        of_node = staged(comps.join(least, "comp").select("node", "_least"), "classes")
+        named = named.join(of_node, "node", "left").select("_a", "_b", F.coalesce("_least", "_rep").alias("_rep"))
+    out = rows.select("_id", "_rid", "_a", "_b").join(named.select("_a", "_b", "_rep"), ["_a", "_b"], "left")
+    return out.select("_id", "_rid", F.when(F.col("_a").isNull(), rep).otherwise(F.col("_rep")).alias("_rep"))
+
+
+def classes(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: its id, and class_id, the least id of its class (null where no row of the class has one)."""
+    return _classified(docs, p or NearDupParams(), id_col, text_col).select(F.col("_id").alias(id_col), F.col("_rep.id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, p: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each class: its smallest id's, once. Rows of a null id stay if they have no copy."""
-    found = classes(docs, p, id_col, text_col)
-    gone = found.filter(F.col("class_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).filter(F.col("_gone").isNotNull()).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    again = docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) & F.col(id_col).isNotNull())
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").unionByName(repeated)
+    """One row of each class: of its least id, or, where no row of the class has an id, of its least row key."""
+    p = p or NearDupParams()
+    found = staged(_classified(docs, p, id_col, text_col).select("_rid", F.col("_rep.rid").alias("_kept")), "judged")
+    gone = staged(found.filter(F.col("_rid") != F.col("_kept")).select("_rid").distinct(), "gone")
+    again = staged(found.filter(F.col("_rid") == F.col("_kept")).groupBy("_rid").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("_rid"), "again")
+
+    def sent(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= p.sent else keys
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    kept = docs.select(row, _row_key(id_col, text_col).alias("_rid")).join(sent(gone), "_rid", "left_anti")
+    if not again.isEmpty():
+        few = sent(again)
+        kept = kept.join(few, "_rid", "left_anti").unionByName(kept.join(few, "_rid", "left_semi").dropDuplicates(["_rid"]))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
