@@ -7,9 +7,9 @@ but not none, is one shingle. Two texts are linked when the weighted Jaccard sim
 1. Texts with equal multisets collapse into one numbered node first, so thousands of copies are one row.
 2. Nodes get BagMinHash signatures. Nodes that agree in a whole band are candidates; their multisets are written once, from
    one shuffle of the texts to their nodes, at every size of the input alike.
-3. In every bucket each node is checked against the bucket's first node, then, unless links already join them, against its
-   last. A pair is checked on its signatures (a pair of similarity 0.8 falls under the bound by chance once in a million),
-   then on its multisets. The components of the links are formed.
+3. In every bucket each node is checked against the bucket's most central node, that which meets most nodes in all its
+   buckets: the text that the others drifted from, as a rule. A pair is checked on its signatures (a pair of similarity 0.8
+   falls under the bound by chance once in a million), then on its multisets. The components of the links are formed.
 4. Nodes of buckets that still hold several components are open. Open nodes of different components are checked if their
    prefixes meet: with shingles in one order for all, rare ones first, two multisets that overlap enough share a shingle
    among the first of each, those before the rest weighs less than the overlap asked for; and what is left of both from the
@@ -53,6 +53,8 @@ class NearDupParams:
     rows: int = 5
     #: Signatures that agree in a smaller share of places are not checked further.
     floor: float = 0.6
+    #: Rounds in which a bucket's nodes are checked against one of them, before prefixes decide on the rest.
+    hubs: int = 1
     #: Cells of the sketch that orders shingles, as a power of two, at most; it chooses an order, never a result.
     most_bits: int = 28
     #: Up to so many keys of rows (40 MB) are sent to drop rows by; beyond, rows are shuffled to the keys.
@@ -251,8 +253,11 @@ def _classified(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(p.bands)])
     members = nodes.select("node", F.explode(bands).alias("bucket"))
     # written first, so that their sizes are known where they are joined: few buckets are shared, and few nodes lie in one
-    ends = staged(members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") < F.col("last")), "ends")
+    ends = staged(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "ends")
     members = staged(members.join(ends, "bucket"), "members")
+    # a text that many drifted from meets more nodes than its copies meet each other
+    central = staged(members.groupBy("node").agg(F.sum("size").alias("rank")), "central")
+    members = staged(members.select("bucket", "node").join(central, "node"), "members")
     sharing = staged(members.select("node").distinct(), "sharing")
     shared = staged(nodes.join(sharing, "node", "left_semi").select("node", "sig", F.col("_rep.rid").alias("_rid")), "shared")
     sigs = shared.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
@@ -280,9 +285,20 @@ def _classified(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -
         if not found.isEmpty():
             comps = merged(comps, found)
 
-    for hub in ("first", "last"):
-        at = labelled(labelled(members.select("node", hub), comps, "node"), comps, hub)
-        link(at.filter(F.col("node_comp") != F.col(f"{hub}_comp")).select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct())
+    at = members
+    for _ in range(p.hubs):
+        # among the nodes that no hub has joined to its own component yet
+        at = staged(labelled(at.select("bucket", "node", "rank"), comps, "node"), "open")
+        hubs = at.groupBy("bucket").agg(F.max(F.struct("rank", "node", "node_comp")).alias("_hub"), F.min("node_comp").alias("_lo"), F.max("node_comp").alias("_hi")).filter("_lo < _hi")
+        hubs = staged(hubs.select("bucket", F.col("_hub.node").alias("hub"), F.col("_hub.node_comp").alias("hub_comp")), "hubs")
+        if hubs.isEmpty():
+            break
+        at = staged(at.join(hubs, "bucket").filter("node_comp <> hub_comp"), "tried")
+        link(at.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+        if comps is not None:
+            # a hub's bucket stays open for the nodes that are still apart from it
+            of_hub = comps.select(F.col("node").alias("hub"), F.col("comp").alias("_own"))
+            at = labelled(at.drop("node_comp", "hub_comp"), comps, "node").join(of_hub, "hub", "left").filter(F.col("node_comp") != F.coalesce("_own", "hub"))
     at = staged(labelled(members.select("bucket", "node"), comps, "node"), "open")
     mixed = at.groupBy("bucket").agg(F.min("node_comp").alias("_lo"), F.max("node_comp").alias("_hi")).filter("_lo < _hi").select("bucket")
     left = staged(at.join(mixed, "bucket", "left_semi").select("node").distinct(), "left")
