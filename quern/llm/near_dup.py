@@ -42,7 +42,7 @@ from quern.llm.wordhash import WordHasher
 
 
 #: Shingles are ordered by how many of these counts they reach among the open nodes.
-_STEPS = (2, 4, 16, 64, 200)
+_STEPS = (2, 8, 64)
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class NearDupParams:
     #: Rounds in which a bucket's nodes are checked against one of them, before prefixes decide on the rest.
     hubs: int = 1
     #: Cells of the sketch that orders shingles, as a power of two, at most; it chooses an order, never a result.
-    most_bits: int = 28
+    most_bits: int = 26
     #: Up to so many keys of rows (40 MB) are sent to drop rows by; beyond, rows are shuffled to the keys.
     sent: int = 1_000_000
 
@@ -202,7 +202,7 @@ def prefix_keys(own: DataFrame, p: NearDupParams) -> DataFrame:
     """node, size, key, rest: the shared shingles of each node's prefix, and the weight from each on, itself included."""
     spark = own.sparkSession
     total = own.agg(F.sum(F.octet_length("h") / 8).alias("n")).first()["n"] or 0
-    bits = int(np.clip(int(4 * total).bit_length(), 16, p.most_bits))
+    bits = int(np.clip(int(2 * total).bit_length(), 16, p.most_bits))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(bits)
