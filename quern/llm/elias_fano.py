@@ -7,27 +7,24 @@ import json
 import numpy as np
 
 
-def _select_table() -> np.ndarray:
-    """[byte, k] -> the place of the k-th set bit of the byte."""
-    out = np.zeros((256, 8), np.uint8)
-    for b in range(256):
-        for k, bit in enumerate(i for i in range(8) if b >> i & 1):
-            out[b, k] = bit
+def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each word's k-th set bit, by halving."""
+    out, k = np.zeros(len(word), np.int64), k.astype(np.int64)
+    for size in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(word & np.uint64((1 << size) - 1))
+        up = k >= below
+        k = k - below * up
+        step = up.astype(np.uint8) * np.uint8(size)
+        word = word >> step.astype(np.uint64)
+        out += step
     return out
 
 
-_SELECT = _select_table()
-_SHIFTS = np.arange(0, 64, 8, dtype=np.uint64)
-
-
-def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of each word's k-th set bit."""
-    each = (word[:, None] >> _SHIFTS) & np.uint64(255)
-    upto = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.int64)
-    byte = (upto <= k[:, None]).sum(axis=1)
-    rows = np.arange(len(word))
-    before = np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
-    return 8 * byte + _SELECT[each[rows, byte].astype(np.int64), k - before]
+def _ones_from(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many set bits follow in a row from each place, and -1 where the row reaches the word's end."""
+    rest = ~(words[place >> 6] >> (place & 63).astype(np.uint64))
+    n = np.bitwise_count((rest & (np.uint64(0) - rest)) - np.uint64(1)).astype(np.int64)
+    return np.where(n + (place & 63) >= 64, -1, n)
 
 
 def pack(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -88,8 +85,12 @@ class EliasFano:
         high = (x >> np.uint64(self.width)).astype(np.int64)
         inside = np.flatnonzero(high + 1 < int(self.zeros[-1]))
         high, want = high[inside], (x & np.uint64((1 << self.width) - 1))[inside]
-        low = self._after_zero(high) - high
-        end = self._after_zero(high + 1) - high - 1
+        place = self._after_zero(high)
+        run = _ones_from(self.upper, place)
+        low = place - high
+        if len(long := np.flatnonzero(run < 0)):
+            run[long] = self._after_zero(high[long] + 1) - place[long] - 1
+        end = low + run
         top = end.copy()
         live = np.flatnonzero(low < end)
         while len(live):

@@ -48,8 +48,8 @@ class LmParams:
     min_count: int = 1
     discount: float = 0.5
     block_tokens: int = 1_000_000
-    #: Text bytes for each shard of a level.
-    shard_bytes: int = 8_000_000
+    #: Text bytes for each shard of words, of pairs and of triples: by how many distinct ones a byte brings.
+    shard_bytes: tuple[int, int, int] = (128_000_000, 32_000_000, 12_000_000)
     least_shards: int = 8
 
 
@@ -161,7 +161,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 @dataclass(frozen=True)
 class LmModel:
     folder: str
-    shards: int
+    #: How many shards each level has.
+    shards: tuple[int, int, int]
     discount: float
     #: First word id and first level-2 index of each shard; tokens, documents, largest number of successors.
     words: tuple[int, ...] = ()
@@ -201,10 +202,10 @@ class LmModel:
 
     def shard_of(self, context: np.ndarray) -> np.ndarray:
         """Level-2 shard of a context word: equal stretches of ids."""
-        return context * self.shards // self.span
+        return context * self.shards[1] // self.span
 
     def shard_of_pair(self, pair: np.ndarray) -> np.ndarray:
-        return pair * self.shards // max(self.pairs[-1], 1)
+        return pair * self.shards[2] // max(self.pairs[-1], 1)
 
     # -------- level 1
 
@@ -213,9 +214,10 @@ class LmModel:
         own, back = np.unique(h, return_inverse=True)
         out = np.full(len(own), self.unknown, np.int64)
         if self.n_words:
-            cut = np.searchsorted(own >> np.uint64(32), np.arange(self.shards + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(self.shards))
-            for s in range(self.shards):
-                a, b = cut[s], cut[s + 1]
+            n = self.shards[0]
+            cut = np.searchsorted(own, _hash_cuts(n))
+            for s in range(n):
+                a, b = cut[s], cut[s + 1] if s + 1 < n else len(own)
                 if b > a and (f := _level(self.folder, f"words-{s}")) is not None:
                     at = f["h"].find(own[a:b])
                     out[a:b] = np.where(at >= 0, at + self.words[s], self.unknown)
@@ -225,9 +227,8 @@ class LmModel:
         """Training counts of word ids; of the start id the number of documents, of unknown words 0."""
         out = np.zeros(len(ids), np.int64)
         shard = np.searchsorted(self.words, ids, side="right") - 1
-        for s in np.unique(shard):
-            if 0 <= s < self.shards:
-                own = shard == s
+        for s, own in _groups(shard):
+            if 0 <= s < self.shards[0]:
                 out[own] = _count_at(_level(self.folder, f"words-{s}"), ids[own] - self.words[s])
         out[ids == self.start] = self.n_docs
         out[ids == self.unknown] = 0
@@ -243,19 +244,17 @@ class LmModel:
         """Level-2 index of each pair, or -1."""
         out = np.full(len(u), -1, np.int64)
         shard = self.shard_of(u)
-        for s in np.unique(shard):
+        for s, own in _groups(shard):
             if (f := _level(self.folder, f"pairs-{s}")) is not None:
-                own = np.flatnonzero(shard == s)
                 at = f["keys"].find((u[own].astype(np.uint64) - np.uint64(f["base"])) * np.uint64(self.span) + w[own].astype(np.uint64))
                 out[own] = np.where(at >= 0, at + self.pairs[s], -1)
         return out
 
     def _by(self, shard: np.ndarray, n: int, level: str, read) -> np.ndarray:
         out = np.zeros(n)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
+        for s, own in _groups(shard):
             if (f := _level(self.folder, f"{level}-{s}")) is not None:
-                out[own] = read(f, own, int(s))
+                out[own] = read(f, own, s)
         return out
 
     def pair_shard(self, pair: np.ndarray) -> np.ndarray:
@@ -285,9 +284,8 @@ class LmModel:
         """(found, log10 probability) of the successor of a rank below each level-2 node."""
         out, hit = np.zeros(len(node)), np.zeros(len(node), bool)
         shard = self.shard_of_pair(node)
-        for s in np.unique(shard):
+        for s, own in _groups(shard):
             if (f := _level(self.folder, f"triples-{s}")) is not None:
-                own = np.flatnonzero(shard == s)
                 at = f["keys"].find((node[own].astype(np.uint64) - np.uint64(f["base"])) * np.uint64(self.fanout) + rank[own].astype(np.uint64))
                 found = at >= 0
                 hit[own] = found
@@ -323,11 +321,27 @@ class LmModel:
         has = np.flatnonzero(node >= 0)
         out[has] += self.log_left_pair(node[has])
         both = has[pair[has] >= 0]
+        both = both[np.argsort(node[both])]  # neighbours in the trie are read together
         found, three = self.find_triples(node[both], ranks[both])
         out[both[found]] = three[found]
         return out, base, known
 
 
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and the places that have it, in one sort whatever the number of shards."""
+    if not len(shard):
+        return
+    order = np.argsort(shard.astype(np.int16) if shard.max(initial=0) < 1 << 15 else shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for own in np.split(order, cuts):
+        yield int(shard[own[0]]), own
+
+
+def _hash_cuts(shards: int) -> np.ndarray:
+    """The least hash of each shard of words, from the first on."""
+    return np.array([((s << 64) + shards - 1) // shards for s in range(shards)], np.uint64)
+
+
 def _level(folder: str, name: str) -> dict | None:
     """A shard of level 2 or 3 with its sequences ready, or None where it was not written."""
     return resident("lm", (folder, name, "level"), lambda: _ready(_mapped(folder, name)))
@@ -377,7 +391,7 @@ def _texts(docs: DataFrame, training: Column, id_col: str, text_col: str) -> Dat
 
 def _count_words(rows: DataFrame, shards: int, p: LmParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, held, total = resident("lm", "hasher", lambda: WordHasher(lower=True)), [], 0
+        hasher, held, total, cuts = resident("lm", "hasher", lambda: WordHasher(lower=True)), [], 0, _hash_cuts(shards)
         end = hasher.hashes([_END])
         done = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -386,7 +400,7 @@ def _count_words(rows: DataFrame, shards: int, p: LmParams) -> DataFrame:
             return _sums(np.concatenate((done[0], keys)), np.concatenate((done[1], counts))) if held else done
 
         def rows_of(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-            return _rows(keys, counts, ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64))
+            return _rows(keys, counts, np.searchsorted(cuts, keys, side="right") - 1)
 
         for batch in batches:
             for text in batch["_text"]:
@@ -432,7 +446,7 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
     prepare(spark)
     rows = _texts(docs, training, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("_text")).alias("b"), F.sum(F.col("_train").cast("long")).alias("n")).first()
-    shards = max(p.least_shards, int((size["b"] or 0) // p.shard_bytes) + 1)
+    shards = tuple(max(p.least_shards, int((size["b"] or 0) // b) + 1) for b in p.shard_bytes)
     folder, n_docs = new_folder(spark, "trie"), int(size["n"] or 0)
 
     def words(shard: int, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
@@ -440,9 +454,9 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "most": [0]})
 
     totals = "shard int, n long, total long, most long"
-    made = {r["shard"]: r for r in _built(_count_words(rows, shards, p), shards, words, totals).collect()}
-    firsts = lambda found: tuple(int(x) for x in np.concatenate(([0], np.cumsum([found[s]["n"] if s in found else 0 for s in range(shards)]))))
-    one = LmModel(folder, shards, p.discount, firsts(made), (0,), sum(r["total"] for r in made.values()), n_docs)
+    made = {r["shard"]: r for r in _built(_count_words(rows, shards[0], p), shards[0], words, totals).collect()}
+    firsts = lambda found, level: tuple(int(x) for x in np.concatenate(([0], np.cumsum([found[s]["n"] if s in found else 0 for s in range(shards[level])]))))
+    one = LmModel(folder, shards, p.discount, firsts(made, 0), (0,), sum(r["total"] for r in made.values()), n_docs)
 
     one.check()
 
@@ -450,11 +464,10 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         hasher = resident("lm", "hasher", lambda: WordHasher(lower=True))
         end = hasher.hashes([_END])
         for texts in batches:
-            for at in range(0, len(texts), 500):
-                held = [np.concatenate((hasher.hashes(hasher.words(t)), end)) for t in texts.iloc[at : at + 500]]
-                ids = one.ids(np.concatenate(held)).astype(one.id_type)
-                cuts = np.cumsum([len(x) for x in held])[:-1]
-                yield pd.Series([x.tobytes() for x in np.split(ids, cuts)], dtype=object)
+            held = [np.concatenate((hasher.hashes(hasher.words(t)), end)) for t in texts]
+            ids = one.ids(np.concatenate(held)).astype(one.id_type)
+            cuts = np.cumsum([len(x) for x in held])[:-1]
+            yield pd.Series([x.tobytes() for x in np.split(ids, cuts)], dtype=object)
 
     numbered = staged(rows.select("_id", "_train", column_udf("lm", "binary", number)("_text").alias("ids")), "ids")
     if not one.n_words:
@@ -469,8 +482,8 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
             yield _rows(keys, counts, one.shard_of((keys // np.uint64(one.span)).astype(np.int64)))
 
     def pairs(shard: int, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        low = -(-shard * one.span // shards)  # the least context of this shard
-        high = min(-(-(shard + 1) * one.span // shards), one.span)
+        low = -(-shard * one.span // shards[1])  # the least context of this shard
+        high = min(-(-(shard + 1) * one.span // shards[1]), one.span)
         keep = counts >= p.min_count
         keys, counts = keys[keep], counts[keep]
         u, w = (keys // np.uint64(one.span)).astype(np.int64), (keys % np.uint64(one.span)).astype(np.int64)
@@ -484,8 +497,8 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         _write(folder, f"pairs-{shard}", {"base": np.array([low]), **_sequence("keys", keys - np.uint64(low) * np.uint64(one.span)), **_sequence("pointers", begins), "q": _quantised(logs), **_counts(counts), "left": _quantised(left)})
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "most": [int(np.diff(begins).max(initial=0))]})
 
-    made = {r["shard"]: r for r in _built(trained.mapInPandas(task("lm", count_pairs), _PACKED), shards, pairs, totals).collect()}
-    two = LmModel(folder, shards, p.discount, one.words, firsts(made), one.n_tokens, n_docs, max([1, *(r["most"] for r in made.values())]))
+    made = {r["shard"]: r for r in _built(trained.mapInPandas(task("lm", count_pairs), _PACKED), shards[1], pairs, totals).collect()}
+    two = LmModel(folder, shards, p.discount, one.words, firsts(made, 1), one.n_tokens, n_docs, max([1, *(r["most"] for r in made.values())]))
 
     def count_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, first in _blocks(batches, p, one.id_type):
@@ -504,7 +517,7 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
 
     def triples(shard: int, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         n_pairs = two.pairs[-1]
-        low, high = -(-shard * n_pairs // shards), min(-(-(shard + 1) * n_pairs // shards), n_pairs)
+        low, high = -(-shard * n_pairs // shards[2]), min(-(-(shard + 1) * n_pairs // shards[2]), n_pairs)
         keep = counts >= p.min_count
         keys, counts = keys[keep], counts[keep]
         node, rank = (keys // np.uint64(two.fanout)).astype(np.int64), (keys % np.uint64(two.fanout)).astype(np.int64)
@@ -518,7 +531,7 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "most": [0]})
 
     two.check()
-    _built(trained.mapInPandas(task("lm", count_triples), _PACKED), shards, triples, totals)
+    _built(trained.mapInPandas(task("lm", count_triples), _PACKED), shards[2], triples, totals)
     return two, numbered
 
 
