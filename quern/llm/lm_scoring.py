@@ -300,19 +300,19 @@ class LmModel:
     def score(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 probability, log10 base probability, known) of each token; first marks the tokens that begin a text."""
         own, back = np.unique(ids, return_inverse=True)
-        base = self.log_word(own)[back]
-        known = (self.counts(own) > 0)[back]
+        word = self.log_word(own)
+        base, known = word[back], (self.counts(own) > 0)[back]
         if not self.n_words:
             return base, base, known
         u = np.concatenate(([self.start], ids[:-1]))
         u[first] = self.start
-        key, at, back = np.unique(u * self.span + ids, return_index=True, return_inverse=True)
-        pu, pw = u[at], ids[at]
+        key, back = np.unique(u * self.span + ids, return_inverse=True)
+        pu, pw = np.divmod(key, self.span)
         pair = self.find_pairs(pu, pw)
         hit = pair >= 0
         two = np.zeros(len(key))
         two[hit] = self.log_pair(pair[hit])
-        two[~hit] = self.log_left(pu[~hit]) + base[at[~hit]]
+        two[~hit] = self.log_left(pu[~hit]) + word[np.searchsorted(own, pw[~hit])]
         ranks = np.zeros(len(key), np.int64)
         ranks[hit] = pair[hit] - self.first_pair(pu[hit])
         pair, out, ranks = pair[back], two[back], ranks[back]
@@ -504,9 +504,10 @@ def train(docs: DataFrame, training: Column, p: LmParams | None = None, id_col:
         for ids, first in _blocks(batches, p, one.id_type):
             u = np.concatenate(([two.start], ids[:-1]))
             u[first] = two.start
-            _, at, back = np.unique(u * two.span + ids, return_index=True, return_inverse=True)
-            found = two.find_pairs(u[at], ids[at])
-            ranks = np.where(found >= 0, found - two.first_pair(u[at]), 0)[back]
+            distinct, back = np.unique(u * two.span + ids, return_inverse=True)
+            pu, pw = np.divmod(distinct, two.span)
+            found = two.find_pairs(pu, pw)
+            ranks = np.where(found >= 0, found - two.first_pair(pu), 0)[back]
             pair = found[back]
             node = np.concatenate(([-1], pair[:-1]))
             node[first] = -1
