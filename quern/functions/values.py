@@ -132,9 +132,18 @@ def as_bool(x: TypedColumn) -> TypedColumn:
     return TypedColumn(F.coalesce(out, F.lit(False)), T.BooleanType())
 
 
+def _float_text(c: Column) -> Column:
+    """Digits without an exponent, and whole numbers without a fraction: 3.0 is 3, 1.5E7 is 15000000."""
+    size = F.abs(c)
+    digits = F.when((size >= 1e-15) & (size < 1e22), F.regexp_replace(c.cast("decimal(38,15)").cast("string"), r"\.?0+$", ""))
+    return F.when(size < 1e-300, F.lit("0")).otherwise(F.coalesce(digits, c.cast("string")))
+
+
 def as_text(x: TypedColumn) -> TypedColumn:
-    """``[a,b]`` for arrays, ``[k:v,...]`` for dictionaries, ``null`` for null."""
+    """``[a,b]`` for arrays, ``[k:v,...]`` for dictionaries, ``null`` for null; floats as plain digits."""
     c = x.col
+    if isinstance(x.kind, (T.FloatType, T.DoubleType)):
+        c = _float_text(c.cast("double"))
     if isinstance(x.kind, T.ArrayType):
         each = lambda e: as_text(TypedColumn(e, x.kind.elementType)).col
         c = F.concat(F.lit("["), F.array_join(F.transform(c, each), ","), F.lit("]"))
@@ -304,6 +313,18 @@ def gt(a: TypedColumn, b: TypedColumn) -> TypedColumn:
     return TypedColumn(out, T.BooleanType())
 
 
+def kept_by(x: TypedColumn) -> Column:
+    """A predicate for filters, where null and false are the same: plain comparisons, which reach the scan."""
+    if isinstance(x.kind, T.BooleanType):
+        return x.col
+    return x.col > 0 if x.is_number else as_bool(x).col
+
+
+def comparable(a: TypedColumn, b: TypedColumn) -> bool:
+    """Whether the two compare as they are, without a coercion."""
+    return (a.is_number and b.is_number) or (a.is_text and b.is_text) or (a.kind == b.kind and isinstance(a.kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)))
+
+
 def index(a: TypedColumn, i: TypedColumn) -> TypedColumn:
     """0-based element or code point; null out of range."""
     at = as_int(i).col.cast("int")
@@ -345,6 +366,12 @@ def add_assign(a: TypedColumn) -> TypedColumn:
         return TypedColumn(F.array_join(F.sort_array(F.collect_list(a.col)), ""), T.StringType())
     if isinstance(a.kind, T.ArrayType):
         return TypedColumn(F.flatten(F.sort_array(F.collect_list(a.col))), a.kind)
+    if isinstance(a.kind, T.MapType):
+        # of a key that several hold the largest value stays, whatever the order of arrival
+        entries = F.flatten(F.collect_list(F.map_entries(a.col)))
+        sorted_ = F.array_sort(entries)
+        last = F.filter(sorted_, lambda e, i: F.coalesce(F.get(sorted_, i + 1)["key"] != e["key"], F.lit(True)))
+        return TypedColumn(F.map_from_entries(last), a.kind)
     if isinstance(a.kind, T.DateType):
         return TypedColumn(F.date_from_unix_date(F.sum(F.unix_date(a.col)).cast("int")), a.kind)
     if a.is_time and not a.is_exact_time:

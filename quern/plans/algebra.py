@@ -65,6 +65,10 @@ class Literal:
         return "NULL" if self.value is None else str(self.value)
 
 
+#: How tightly infix operators bind.
+_POWER = {"=": 1, ">": 1, "+": 2, "-": 2, "*": 3, "/": 3}
+
+
 @dataclass(frozen=True)
 class Call:
     op: str
@@ -78,8 +82,10 @@ class Call:
         raise PlanError(f"no operator {self.op!r} of {len(bound)} operands")
 
     def sql(self) -> str:
-        if self.op in values.BINARY and self.op != "index":
-            return f" {self.op} ".join(a.sql() for a in self.args)
+        if self.op in _POWER and len(self.args) == 2:
+            left, right = self.args
+            inner = lambda e, least: f"({e.sql()})" if isinstance(e, Call) and _POWER.get(e.op, 9) < least else e.sql()
+            return f"{inner(left, _POWER[self.op])} {self.op} {inner(right, _POWER[self.op] + 1)}"
         return f"{self.op}({', '.join(a.sql() for a in self.args)})"
 
 
@@ -158,7 +164,15 @@ class Filter:
 
     def apply(self, sources) -> DataFrame:
         df = self.input.apply(sources)
-        return df.filter(values.as_bool(self.predicate.bind(df)).col)
+        return df.filter(self._column(df))
+
+    def _column(self, df: DataFrame):
+        e = self.predicate
+        if isinstance(e, Call) and e.op in ("=", ">") and isinstance(e.args[1], Literal) and e.args[1].value is not None:
+            a, b = (x.bind(df) for x in e.args)
+            if values.comparable(a, b):  # null on the left keeps no row either way
+                return a.col == b.col if e.op == "=" else a.col > b.col
+        return values.kept_by(e.bind(df))
 
     def sql(self) -> str:
         return f"SELECT * FROM {_nested(self.input)} WHERE {self.predicate.sql()}"

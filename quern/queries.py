@@ -9,9 +9,11 @@ from quern.functions import values as V
 from quern.functions.values import typed
 from quern.operators import mapping as M
 from quern.operators.routing import Definition, Entity, KeyEquals, TakeAll, Topic, route
-from quern.plans import Call, Collect, Field, Filter, Literal, Project, Query, Scan, Unwind
+from quern.plans import Call, Collect, Field, Filter, Literal, Passthrough, Project, Query, Scan, Unwind, parse
 from quern.session import table
-from quern.sources.cdc import apply_changes, parse_changes
+from quern.sources.cdc import apply_changes, parse_changes, parse_document_changes
+from quern.sources.messages import mqtt_value, parse_messages
+from quern.streaming.sinks import from_wire, to_wire
 from quern.streaming.metrics import delay, load_class, open_ids, stage_counts, throughput
 
 QUERIES: dict = {}
@@ -35,10 +37,10 @@ def _call(df: DataFrame, op, *cols) -> "F.Column":
 # ---------------------------------------------------------------- SQL frontend
 
 
-@query("SELECT l_extendedprice + 3.0::DOUBLE AS field0 FROM lineitem")
+@query("SELECT l_extendedprice + 7.5::DOUBLE AS field0 FROM lineitem")
 def sql_project_add(spark: SparkSession, d: str) -> DataFrame:
     bids = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"))
-    return bids.transform(Query("sql", "SELECT price + 3 FROM $$source"))
+    return bids.transform(Query("sql", "SELECT price + 7.5 FROM $$source"))
 
 
 @query("SELECT l_extendedprice - l_discount AS field0, l_orderkey - 1.0::DOUBLE AS field1 FROM lineitem")
@@ -82,6 +84,12 @@ def text_concat(spark, d):
     return df.select("n_nationkey", _call(df, V.add, "n_name", "n_regionkey").alias("joined"), _call(df, V.add, "n_name", V.literal(True)).alias("flagged"))
 
 
+@query("SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR ELSE (p_size // 2)::VARCHAR || '.5' END AS half FROM part")
+def text_add_float(spark, d):
+    df = table(spark, d, "part").withColumn("half", F.col("p_size") / 2)
+    return df.select("p_partkey", _call(df, V.add, "p_brand", "half").alias("half"))
+
+
 @query("SELECT n_nationkey, repeat(n_name, n_regionkey) AS repeated FROM nation")
 def text_repeat(spark, d):
     df = table(spark, d, "nation")
@@ -180,6 +188,25 @@ def collect_values(spark, d):
     return df.select("event_type", F.size("values").cast("bigint").alias("n"), F.get("values", F.lit(0)).alias("first_id"), F.element_at("values", -1).alias("last_id"))
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 10 AND p_brand = 'Brand#13'")
+def filter_chain(spark, d):
+    plan = Project((("p_partkey", Field("p_partkey")), ("p_name", Field("p_name"))), Filter(Call("=", (Field("p_brand"), Literal("Brand#13"))), Passthrough("no rewrite yet", Filter(Call(">", (Field("p_size"), Literal(10)))))))
+    return plan.apply(table(spark, d, "part"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000")
+def sql_join_two_sources(spark, d):
+    plan = parse("sql", "SELECT o_orderkey, c_name FROM bought JOIN buyers ON o_custkey = c_custkey WHERE o_totalprice > 1000")
+    return plan.apply({"bought": table(spark, d, "orders"), "buyers": table(spark, d, "customer")})
+
+
+@query("""SELECT c_nationkey, list_sort(list(c_mktsegment))[-1] AS top, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY c_nationkey""")
+def accumulate_dictionary(spark, d):
+    df = table(spark, d, "customer").withColumn("m", F.create_map("c_mktsegment", F.col("c_nationkey")))
+    out = df.groupBy("c_nationkey").agg(V.add_assign(typed(df, "m")).col.alias("m"))
+    return out.select("c_nationkey", F.array_max(F.map_keys("m")).alias("top"), F.size("m").cast("bigint").alias("n"))
+
+
 # ---------------------------------------------------------------- documents and graphs
 
 
@@ -249,6 +276,27 @@ def map_key_value(spark, d):
     return df.select(F.col("kv.key").cast("bigint").alias("key"), F.try_variant_get("kv.value", "$.properties.c_name", "string").alias("name"))
 
 
+@query("SELECT c_custkey, c_name AS name, c_nationkey AS nation FROM customer")
+def map_document_key(spark, d):
+    df = _customers(spark, d).select("c_custkey", M.Mapping.of("document", {"key": "properties"}).column(F.col("value")).alias("v"))
+    return df.select("c_custkey", F.try_variant_get("v", "$.c_name", "string").alias("name"), F.try_variant_get("v", "$.c_nationkey", "int").alias("nation"))
+
+
+@query("SELECT n_nationkey, n_name AS first, n_regionkey::VARCHAR AS second FROM nation")
+def map_document_list(spark, d):
+    raw = F.parse_json(F.to_json(F.array("n_name", F.col("n_regionkey").cast("string"))))
+    df = table(spark, d, "nation").select("n_nationkey", M.Mapping.of("document", {"list": ["first", "second"]}).column(raw).alias("v"))
+    return df.select("n_nationkey", *[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("first", "second")])
+
+
+@query('SELECT o_orderkey AS id, o_custkey AS "start", o_custkey % 10 AS "end" FROM orders WHERE o_custkey < 20')
+def map_subgraph(spark, d):
+    orders = table(spark, d, "orders")
+    nodes = spark.range(20).select(F.col("id"))
+    edges = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("start"), (F.col("o_custkey") % 10).alias("end"))
+    return M.subgraph(nodes, edges)[1].select("id", "start", "end")
+
+
 # ---------------------------------------------------------------- routing
 
 
@@ -325,6 +373,38 @@ def cdc_apply(spark, d):
     return apply_changes(parse_changes(raw), "user_id", "event_id").select("key", F.col("value")["value"].cast("double").alias("value"))
 
 
+@query("SELECT event_id, event_type AS topic, value::VARCHAR = value::VARCHAR AS there FROM events WHERE event_id % 3 <> 0")
+def parse_broker_messages(spark, d):
+    good = F.to_json(F.struct(F.array("event_type").alias("topics"), F.col("value").cast("string").alias("value")))
+    raw = table(spark, d, "events").select(F.struct("event_id").alias("key"), F.when(F.col("event_id") % 3 != 0, good).otherwise("{broken").alias("value"), "event_id")
+    return parse_messages(raw, keep=["event_id"]).select("event_id", F.get("topics", F.lit(0)).alias("topic"), F.col("value").isNotNull().alias("there"))
+
+
+@query("SELECT event_id, props AS payload, 'in/' || event_type AS topic FROM events")
+def mqtt_values(spark, d):
+    df = table(spark, d, "events").select("event_id", mqtt_value(F.col("props").cast("binary"), F.concat(F.lit("in/"), F.col("event_type"))).alias("v"))
+    return df.select("event_id", F.col("v.`$`").alias("payload"), F.col("v.`$topic`").alias("topic"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'delete' WHEN 'view' THEN 'update' WHEN 'error' THEN 'other' ELSE 'insert' END AS op,
+  user_id::VARCHAR AS key, CASE WHEN event_type <> 'click' THEN event_type END AS kind FROM events""")
+def cdc_documents(spark, d):
+    kind = F.col("event_type")
+    op = F.when(kind == "click", "delete").when(kind == "view", "replace").when(kind == "error", "rename").otherwise("insert")
+    doc = F.when(kind != "click", F.struct(F.col("user_id").cast("string").alias("_id"), kind.alias("kind")))
+    raw = table(spark, d, "events").select("event_id", F.to_json(F.struct(op.alias("operationType"), F.struct(F.col("user_id").cast("string").alias("_id")).alias("documentKey"), doc.alias("fullDocument"))).alias("value"))
+    return parse_document_changes(raw).select("event_id", "op", F.col("identity")["_id"].alias("key"), F.col("value")["kind"].alias("kind"))
+
+
+@query("SELECT event_id, event_type AS topic, user_id, epoch_us(ts) // 1000 AS ms FROM events")
+def wire_round_trip(spark, d):
+    value = F.struct("event_id", "user_id")
+    df = table(spark, d, "events")
+    sent = df.select(to_wire(value, F.array("event_type"), F.col("ts").cast("timestamp")).alias("m"))
+    back = sent.select(from_wire(F.col("m"), df.select(value.alias("v")).schema["v"].dataType).alias("m"))
+    return back.select("m.value.event_id", F.get("m.topics", F.lit(0)).alias("topic"), "m.value.user_id", F.unix_millis("m.timestamp").alias("ms"))
+
+
 @query("""SELECT w AS window_start, event_type, count(*) AS n
 FROM (SELECT event_type, unnest([time_bucket(INTERVAL 10 SECOND, ts), time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL 10 SECOND, time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL 20 SECOND]) AS w FROM events)
 GROUP BY ALL""")

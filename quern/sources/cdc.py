@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _COLUMN = "struct<name:string,value:string>"
@@ -18,14 +18,16 @@ def _pick(code: Column, names: dict[str, str]) -> Column:
 def _pairs(items: Column) -> Column:
     """name -> value; of a repeated name the last counts."""
     names = F.array_distinct(F.transform(items, lambda x: x["name"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(items, lambda x: x["name"] == n), -1)["value"]))
+    last = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(items, lambda x: x["name"] == n), -1)["value"]))
+    return F.when(F.size(names) == F.size(items), F.map_from_entries(items)).otherwise(last)
 
 
 def parse_changes(raw: DataFrame, payload: str = "value") -> DataFrame:
     """Relational change rows (``action`` i/u/d/b/c) as op, identity and value maps; unknown actions are ``other``."""
-    m = F.from_json(F.col(payload).cast("string"), CHANGE)
-    kept = raw.withColumn("_m", m).filter(F.col("_m.action").isNotNull())
     others = [c for c in raw.columns if c != payload]
+    # a generator of one row keeps the optimizer from parsing once for every use
+    m = F.explode(F.array(F.from_json(F.col(payload).cast("string"), CHANGE)))
+    kept = raw.select(*others, m.alias("_m")).filter(F.col("_m.action").isNotNull())
     return kept.select(*others, _pick(F.col("_m.action"), _ACTIONS).alias("op"), _pairs(F.col("_m.identity")).alias("identity"), _pairs(F.col("_m.columns")).alias("value"))
 
 
@@ -47,8 +49,3 @@ def apply_changes(changes: DataFrame, key: str, order: str) -> DataFrame:
     k = F.coalesce(F.col("identity")[key], F.col("value")[key])
     last = changes.filter(F.col("op").isin("insert", "update", "delete")).groupBy(k.alias("key")).agg(F.max_by(F.struct("op", "value"), F.col(order)).alias("last"))
     return last.filter(F.col("last.op") != "delete").select("key", F.col("last.value").alias("value"))
-
-
-def latest_window(changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Every change with its place in its key's history, newest first."""
-    return changes.withColumn("age", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())))

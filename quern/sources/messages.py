@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 MESSAGE = "topics array<string>, value string"
 
 
-def parse_messages(raw: DataFrame, payload: str = "value") -> DataFrame:
-    """JSON ``{topics: [...], value: "..."}``; a payload that does not parse, or lacks topics, is skipped."""
+def parse_messages(raw: DataFrame, payload: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """JSON ``{topics: [...], value: "..."}``, beside the columns to keep; a payload that does not parse, or lacks topics, is skipped."""
     parsed = F.from_json(F.col(payload).cast("string"), MESSAGE, {"mode": "PERMISSIVE"})
-    return raw.select(parsed.alias("m")).filter(F.col("m.topics").isNotNull()).select("m.topics", "m.value")
+    return raw.select(*(keep or []), parsed.alias("m")).filter(F.col("m.topics").isNotNull()).select(*(keep or []), "m.topics", "m.value")
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str = "poly", group: str | None = None) -> DataFrame:

@@ -1,5 +1,5 @@
 from quern.streaming.metrics import Metrics, delay, load_class, open_ids, stage_counts, throughput
 from quern.streaming.pipeline import Pipeline
-from quern.streaming.sinks import ParquetSink, TopicFeed
+from quern.streaming.sinks import GraphSink, KafkaSink, ParquetSink, TcpFeed, TopicFeed, from_wire, to_wire
 
-__all__ = ["Metrics", "ParquetSink", "Pipeline", "TopicFeed", "delay", "load_class", "open_ids", "stage_counts", "throughput"]
+__all__ = ["GraphSink", "KafkaSink", "Metrics", "ParquetSink", "Pipeline", "TcpFeed", "TopicFeed", "delay", "from_wire", "load_class", "open_ids", "stage_counts", "throughput", "to_wire"]

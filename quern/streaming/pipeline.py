@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import Catalog
-from quern.operators.routing import Definition, route
+from quern.operators.routing import Definition, route, store_for
 
 META = ["id", "ts", "topics"]
 
@@ -43,20 +43,31 @@ def processed(native: DataFrame, d: Definition) -> DataFrame:
 @dataclass
 class Pipeline:
     catalog: Catalog
+    #: One sink for all, or sinks by the names of the catalog's stores.
     sink: object
     feeds: list = field(default_factory=list)
+    #: Of stores by name, where they differ from 1.
+    costs: dict[str, float] = field(default_factory=dict)
+
+    def sink_of(self, d: Definition | None):
+        """The sink of the cheapest store for the definition's model; dead letters go to the first."""
+        if not isinstance(self.sink, dict):
+            return self.sink
+        if d is None:
+            return self.sink[next(iter(sorted(self.sink)))]
+        return self.sink[store_for(d.model, {k: v for k, v in self.catalog.stores.items() if k in self.sink}, self.costs)]
 
     def run_batch(self, df: DataFrame, batch: int = 0) -> None:
         definitions = list(self.catalog.definitions.values())
         ready = route(stamp(df, batch), definitions).persist()
         try:
             for d in definitions:
-                own = ready.filter(F.col("definition") == d.id).drop("definition")
-                self.sink.write(own, d.entity.plain, batch)
+                own, sink = ready.filter(F.col("definition") == d.id).drop("definition"), self.sink_of(d)
+                sink.write(own, d.entity.plain, batch)
                 native = mapped(own, d)
-                self.sink.write(native, d.entity.native, batch)
-                self.sink.write(processed(native, d), d.entity.process, batch)
-            self.sink.write(ready.filter(F.col("definition").isNull()).drop("definition"), "dead_letters", batch)
+                sink.write(native, d.entity.native, batch)
+                sink.write(processed(native, d), d.entity.process, batch)
+            self.sink_of(None).write(ready.filter(F.col("definition").isNull()).drop("definition"), "dead_letters", batch)
             for d in definitions if self.feeds else ():
                 native = mapped(ready.filter(F.col("definition") == d.id), d)
                 for feed in self.feeds:

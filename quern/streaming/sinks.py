@@ -1,11 +1,14 @@
-"""Where the three layers of a definition go. Every sink writes a batch under its batch id, so a replayed batch replaces itself."""
+"""Where the three layers of a definition go. Files are written under their batch id, so a replayed batch replaces itself;
+other stores get the batch id as a column, and each sink says what a replay does there."""
 
 from __future__ import annotations
 
+import socket
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ class JdbcSink:
 
 @dataclass(frozen=True)
 class ConnectorSink:
-    """Any other store with a Spark connector, such as a document or graph database."""
+    """Any other store with a Spark connector, such as a document or graph database. A replayed batch is appended again."""
 
     format: str
     options: dict = field(default_factory=dict)
@@ -61,11 +64,73 @@ class TopicFeed:
             self.send(line["line"])
 
 
-def nodes_and_edges(df: DataFrame, column: str = "value") -> DataFrame:
-    """A graph store's node table: one flat row for each node struct."""
-    return df.select(f"{column}.id", f"{column}.labels", f"{column}.properties")
+@dataclass
+class TcpFeed:
+    """Hands processed rows of one topic to a listener on a socket, a JSON line each."""
+
+    topic: str
+    host: str
+    port: int
+    timeout: float = 10.0
+
+    def write(self, native: DataFrame, query) -> None:
+        with socket.create_connection((self.host, self.port), self.timeout) as peer:
+            TopicFeed(self.topic, lambda line: peer.sendall(line.encode() + b"\n")).write(native, query)
+
+
+@dataclass(frozen=True)
+class KafkaSink:
+    """A broker's topic for each table; needs the connector on the class path. A replayed batch is sent again, under the
+    same keys, so a compacted topic keeps one."""
+
+    servers: str
+    prefix: str = ""
+    options: dict = field(default_factory=dict)
+
+    def frame(self, df: DataFrame, table: str, batch: int) -> DataFrame:
+        """topic, key, value as the connector takes them."""
+        line = F.to_json(F.struct("*"))
+        key = F.concat_ws("-", F.lit(batch).cast("string"), F.xxhash64(line).cast("string"))
+        return df.select(F.lit(self.prefix + table).alias("topic"), key.alias("key"), line.alias("value"))
+
+    def write(self, df: DataFrame, table: str, batch: int) -> None:
+        self.frame(df, table, batch).write.format("kafka").option("kafka.bootstrap.servers", self.servers).options(**self.options).save()
 
 
-def to_wire(value, topics, timestamp):
+@dataclass(frozen=True)
+class GraphSink:
+    """Nodes and edges in tables of their own, ``<table>_nodes`` and ``<table>_edges``; what isn't a graph goes on as it is."""
+
+    sink: object
+
+    def write(self, df: DataFrame, table: str, batch: int) -> None:
+        fields = df.schema["value"].dataType.names if "value" in df.columns and isinstance(df.schema["value"].dataType, T.StructType) else []
+        if {"id", "labels"} <= set(fields):
+            self.sink.write(nodes(df), f"{table}_nodes", batch)
+        elif {"id", "start", "end"} <= set(fields):
+            self.sink.write(edges(df), f"{table}_edges", batch)
+        else:
+            self.sink.write(df, table, batch)
+
+
+def nodes(df: DataFrame, column: str = "value") -> DataFrame:
+    """One flat row for each node struct."""
+    return df.filter(F.col(column).isNotNull()).select(f"{column}.id", f"{column}.labels", f"{column}.properties")
+
+
+def edges(df: DataFrame, column: str = "value") -> DataFrame:
+    """One flat row for each edge struct that has both ends."""
+    v = F.col(column)
+    return df.filter(v["start"].isNotNull() & v["end"].isNotNull()).select(*[v[c].alias(c) for c in ("id", "label", "start", "end", "properties")])
+
+
+def to_wire(value: Column, topics: Column, timestamp: Column) -> Column:
     """A message for other processes, as JSON text."""
     return F.to_json(F.struct(topics.alias("topics"), value.alias("value"), F.unix_millis(timestamp).alias("timestamp")))
+
+
+def from_wire(message: Column, kind: T.DataType) -> Column:
+    """The message's topics, value of the given type, and timestamp; null for text that isn't one."""
+    schema = T.StructType([T.StructField("topics", T.ArrayType(T.StringType())), T.StructField("value", kind), T.StructField("timestamp", T.LongType())])
+    m = F.from_json(message, schema)
+    return F.when(m["topics"].isNotNull(), F.struct(m["topics"].alias("topics"), m["value"].alias("value"), F.timestamp_millis(m["timestamp"]).alias("timestamp")))
