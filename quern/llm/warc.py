@@ -193,7 +193,7 @@ def unpack_member(w: _Window, at: int) -> tuple[bytes, int]:
             while part and not d.eof:
                 own = d.decompress(part, _CHUNK * 16)
                 size += len(own)
-                if size > w.most or fed - at > w.most:
+                if size > w.most or fed - at > w.most + _CHUNK:
                     raise Damaged(f"member is larger than {w.most} bytes")
                 out.append(own)
                 part = d.unconsumed_tail
