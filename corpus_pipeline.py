@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages, each one of the llm operators over all that its predecessor kept."""
+"""A corpus pipeline of five stages, each one of the llm operators over all that its predecessor kept.
+
+Defined results: rows with null or empty texts pass all filters as texts without words, but rows that repeat both id and text are one
+row after near-duplicate removal; a row without an id stays if no row of its class has one and it is the class's first; n_chars
+follows a text that was cut, and stays as it is otherwise; extra columns stay, whatever their names and types; without labels of both
+values nothing is rejected; an empty table gives an empty result. Ids are whole numbers, as substring dedup orders rows by them.
+"""
 
 from __future__ import annotations
 
