@@ -14,9 +14,9 @@ def parse_messages(raw: DataFrame, payload: str = "value", keep: list[str] | Non
     return raw.select(*(keep or []), parsed.alias("m")).filter(F.col("m.topics").isNotNull()).select(*(keep or []), "m.topics", "m.value")
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str = "poly", group: str | None = None) -> DataFrame:
-    """Earliest-first stream of messages; the connector's jar has to be on the class path."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
+def kafka_source(spark: SparkSession, servers: str, topic: str = "poly", group: str | None = None, rows_per_batch: int = 100_000) -> DataFrame:
+    """Earliest-first stream of messages, a bounded number a batch; the connector's jar has to be on the class path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", rows_per_batch)
     if group:
         reader = reader.option("kafka.group.id", group)
     return parse_messages(reader.load())

@@ -6,8 +6,10 @@ DataFrame and inside foreachBatch; the path has no shuffle but what a definition
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ class Pipeline:
     feeds: list = field(default_factory=list)
     #: Of stores by name, where they differ from 1.
     costs: dict[str, float] = field(default_factory=dict)
+    #: Definitions whose layers are written at the same time; one's small writes fill what another's leave idle.
+    parallel: int = 4
 
     def sink_of(self, d: Definition | None):
         """The sink of the cheapest store for the definition's model; dead letters go to the first."""
@@ -58,16 +62,15 @@ class Pipeline:
         return self.sink[store_for(d.model, {k: v for k, v in self.catalog.stores.items() if k in self.sink}, self.costs)]
 
     def run_batch(self, df: DataFrame, batch: int = 0) -> None:
+        """Stores a batch. A definition that fails fails the batch, after the others have ended."""
         definitions = list(self.catalog.definitions.values())
         ready = route(stamp(df, batch), definitions).persist()
         try:
-            for d in definitions:
-                own, sink = ready.filter(F.col("definition") == d.id).drop("definition"), self.sink_of(d)
-                sink.write(own, d.entity.plain, batch)
-                native = mapped(own, d)
-                sink.write(native, d.entity.native, batch)
-                sink.write(processed(native, d), d.entity.process, batch)
-            self.sink_of(None).write(ready.filter(F.col("definition").isNull()).drop("definition"), "dead_letters", batch)
+            with ThreadPoolExecutor(max(1, self.parallel)) as pool:
+                session = inheritable_thread_target(df.sparkSession)
+                jobs = [pool.submit(session(self._store), ready, d, batch) for d in [*definitions, None]]
+            for job in jobs:
+                job.result()
             for d in definitions if self.feeds else ():
                 native = mapped(ready.filter(F.col("definition") == d.id), d)
                 for feed in self.feeds:
@@ -75,6 +78,18 @@ class Pipeline:
         finally:
             ready.unpersist()
 
+    def _store(self, ready: DataFrame, d: Definition | None, batch: int) -> None:
+        """The three layers of a definition, or the dead letters."""
+        sink = self.sink_of(d)
+        if d is None:
+            sink.write(ready.filter(F.col("definition").isNull()).drop("definition"), "dead_letters", batch)
+            return
+        own = ready.filter(F.col("definition") == d.id).drop("definition")
+        native = mapped(own, d)
+        sink.write(own, d.entity.plain, batch)
+        sink.write(native, d.entity.native, batch)
+        sink.write(processed(native, d), d.entity.process, batch)
+
     def start(self, stream: DataFrame, checkpoint: str, interval: str = "500 milliseconds", available_now: bool = False):
         """A streaming query that can be stopped and restarted from its checkpoint."""
         writer = stream.writeStream.foreachBatch(self.run_batch).option("checkpointLocation", checkpoint)

@@ -202,6 +202,20 @@ def test_definitions_go_to_the_cheapest_store(spark, tmp_path):
     assert got == {4: (["Town"], "Ulm"), 5: (["Lake"], None)} and not (tmp_path / "lake" / "roads").exists()
 
 
+def test_a_failing_definition_fails_the_batch(spark, tmp_path):
+    class Broken(ParquetSink):
+        def write(self, df, table, batch):
+            if table == "notes_native":
+                raise OSError("full")
+            super().write(df, table, batch)
+
+    df = _records(spark).select("topics", F.parse_json("raw").alias("value"))
+    with pytest.raises(OSError, match="full"):
+        Pipeline(load(CONFIG), Broken(str(tmp_path))).run_batch(df, 1)
+    Pipeline(load(CONFIG), ParquetSink(str(tmp_path)), parallel=1).run_batch(df, 1)
+    _check(spark, ParquetSink(str(tmp_path)))
+
+
 def test_graph_tables(spark, tmp_path):
     raw = ['{"id": 1, "label": "KNOWS", "source": 4, "target": 5, "properties": {"since": "2001"}}', '{"id": 2, "label": "KNOWS", "source": 4}', '"no edge"']
     df = spark.createDataFrame([(x,) for x in raw], "raw string").select(M.edge(F.parse_json("raw")).alias("value"))
