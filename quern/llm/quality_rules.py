@@ -5,7 +5,8 @@ the shuffle, so one hot host is a few rows a task), each host's rate is shrunk t
 to them by the method of moments, and the verdict joins back to the documents' digests.
 
 Defined results: a null text has no words; a null host counts with the empty host; repeated rows are judged row by row;
-an empty table gives an empty result; other columns of the input are ignored, whatever their names.
+an empty table gives an empty result; other columns of the input are ignored, whatever their names; a text that isn't a
+URL has no host.
 """
 
 from __future__ import annotations
@@ -57,10 +58,16 @@ def repeat_words(words: str) -> list:
     ]
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def host_of(url: Column) -> Column:
+    """A URL's host in lower case, without a leading ``www.``; null where there is none. For ``host_col``."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | Column = "source") -> DataFrame:
     """Id, host and counts of each document."""
+    host = F.col(host_col) if isinstance(host_col, str) else host_col
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("_text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     packed = F.regexp_replace("_text", SPACES, "")
     df = df.select(
@@ -118,7 +125,7 @@ def host_rates(digests: DataFrame, p: HostRules) -> DataFrame:
     return hosts.select(*out)
 
 
-def apply_rules(docs: DataFrame, p: HostRules | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, p: HostRules | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str | Column = "source") -> DataFrame:
     """Digest, ``base_failed``, ``host_rate`` (the worst rule's) and ``kept`` for every document."""
     p = p or HostRules()
     digests = staged(digest(docs, id_col, text_col, host_col), "digests")

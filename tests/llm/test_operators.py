@@ -290,6 +290,14 @@ def test_warc_round_trip_and_salvage(spark):
     assert [r.get("page_id") for r in warc.salvage(plain) if r["kind"] == "record"] == [9, 8]
 
 
+def test_rules_by_host_of_a_url(spark):
+    urls = ["https://www.Mill.example:8080/a?b=c", "http://mill.example/", "//x", "no url", "http://[bad", "", None]
+    df = spark.createDataFrame([(i, u, "a b") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = quality_rules.apply_rules(df, id_col="page_id", text_col="html", host_col=quality_rules.host_of(F.col("url"))).collect()
+    assert {r["doc_id"]: r["host"] for r in rows} == {0: "mill.example", 1: "mill.example", 2: "x", 3: "", 4: "", 5: "", 6: ""}
+    assert all(r["base_failed"] and not r["kept"] and r["host_rate"] > 0.9 for r in rows)
+
+
 def test_rules_on_odd_rows(docs, empty):
     out = quality_rules.apply_rules(docs)
     got = {r["doc_id"]: r for r in out.collect()}
