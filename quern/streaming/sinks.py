@@ -6,6 +6,7 @@ from __future__ import annotations
 import socket
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,29 +26,91 @@ class ParquetSink:
         return spark.read.parquet(f"{self.root}/{table}")
 
 
+def storable(df: DataFrame, nested: bool) -> DataFrame:
+    """Columns that other stores have types for: a column with a VARIANT in it becomes JSON text, and without ``nested``
+    arrays, maps and structs do too."""
+
+    def variant(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(variant(f.dataType) for f in kind)
+        if isinstance(kind, T.MapType):
+            return variant(kind.keyType) or variant(kind.valueType)
+        return variant(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.VariantType)
+
+    def column(f: T.StructField) -> Column:
+        name = F.col("`" + f.name.replace("`", "``") + "`")
+        text = variant(f.dataType) or (not nested and isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType))
+        return F.to_json(name).alias(f.name) if text else name
+
+    return df.select(*map(column, df.schema))
+
+
 @dataclass(frozen=True)
 class JdbcSink:
-    """A relational store; needs its driver on the class path. A batch's earlier rows are the caller's to delete."""
+    """A relational store; needs its driver on the class path. A replayed batch first deletes its earlier rows."""
 
     url: str
     options: dict = field(default_factory=dict)
     rows_per_insert: int = 1000
+    #: The column that tells batches apart.
+    batch: str = "batch"
 
     def write(self, df: DataFrame, table: str, batch: int) -> None:
-        writer = df.withColumn("batch", F.lit(batch)).write.format("jdbc").mode("append").option("url", self.url).option("dbtable", table).option("batchsize", self.rows_per_insert)
+        self._forget(df.sparkSession, table, batch)
+        rows = storable(df, nested=False).withColumn(self.batch, F.lit(batch).cast("long"))
+        writer = rows.write.format("jdbc").mode("append").option("url", self.url).option("dbtable", table).option("batchsize", self.rows_per_insert)
         writer.options(**self.options).save()
 
+    def _forget(self, spark: SparkSession, table: str, batch: int) -> None:
+        """Deletes a batch's rows, if the table is there."""
+        jvm = spark._jvm
+        dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url)
+        own = jvm.java.util.Properties()
+        for key, text in self.options.items():
+            own.setProperty(key, str(text))
+        driver = self.options.get("driver") or jvm.java.sql.DriverManager.getDriver(self.url).getClass().getName()
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+        peer = jvm.java.sql.DriverManager.getConnection(self.url, own)
+        try:
+            statement = peer.createStatement()
+            try:
+                statement.execute(dialect.getTableExistsQuery(table))
+            except Py4JJavaError:
+                return
+            statement.executeUpdate(f"DELETE FROM {table} WHERE {dialect.quoteIdentifier(self.batch)} = {int(batch)}")
+        finally:
+            peer.close()
+
 
 @dataclass(frozen=True)
 class ConnectorSink:
-    """Any other store with a Spark connector, such as a document or graph database. A replayed batch is appended again."""
+    """Any other store with a Spark connector, such as a document or graph database. A replayed batch is appended again,
+    but for tables that a ``Ledger`` has as done."""
 
     format: str
     options: dict = field(default_factory=dict)
     table_option: str = "collection"
 
     def write(self, df: DataFrame, table: str, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.format(self.format).mode("append").options(**self.options).option(self.table_option, table).save()
+        rows = storable(df, nested=True).withColumn("batch", F.lit(batch).cast("long"))
+        rows.write.format(self.format).mode("append").options(**self.options).option(self.table_option, table).save()
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """A sink whose batches are noted in a shared folder once they are written, and passed over when they are replayed: for
+    stores that cannot replace a batch. What fails between write and note is written again."""
+
+    sink: object
+    root: str
+
+    def write(self, df: DataFrame, table: str, batch: int) -> None:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        note = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/batch={batch}")
+        fs = note.getFileSystem(conf)
+        if not fs.exists(note):
+            self.sink.write(df, table, batch)
+            fs.create(note, True).close()
 
 
 @dataclass

@@ -18,7 +18,7 @@ from quern.plans import Call, Field, Filter, Literal, Passthrough, PlanError, Pr
 from quern.plans.mql import relaxed_json
 from quern.sources.generators import interval_source, register_sources
 from quern.sources.messages import mqtt_value, parse_messages
-from quern.streaming import GraphSink, KafkaSink, Metrics, ParquetSink, Pipeline, TcpFeed, TopicFeed, from_wire, to_wire
+from quern.streaming import GraphSink, JdbcSink, KafkaSink, Ledger, Metrics, ParquetSink, Pipeline, TcpFeed, TopicFeed, from_wire, storable, to_wire
 from quern.streaming.sinks import edges, nodes
 
 CONFIG = """
@@ -216,6 +216,50 @@ def test_a_failing_definition_fails_the_batch(spark, tmp_path):
     _check(spark, ParquetSink(str(tmp_path)))
 
 
+def test_relational_store_replaces_a_replayed_batch(spark):
+    url = "jdbc:derby:memory:quern;create=true"
+    sink, plain = JdbcSink(url, {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}), _records(spark).select("topics", F.parse_json("raw").alias("value"))
+    for batch in (3, 4, 3):
+        Pipeline(load(CONFIG), sink).run_batch(plain, batch)
+
+    def read(table):
+        return spark.read.format("jdbc").option("url", url).option("dbtable", table).option("driver", sink.options["driver"]).load()
+
+    crates = read("crates")
+    assert sorted((r["batch"], r["n"]) for r in crates.groupBy("batch").agg(F.count("*").alias("n")).collect()) == [(3, 2), (4, 2)]
+    raw = read("crates_plain").filter("batch = 3").collect()
+    assert len(raw) == 2 and all(json.loads(r["value"])["kind"] == "crate" for r in raw)
+    assert json.loads(read("notes_plain").first()["topics"]) == ["diary"]
+
+
+def test_ledger_passes_over_written_batches(spark, tmp_path):
+    written = []
+
+    class Store:
+        def write(self, df, table, batch):
+            if (table, batch) == ("b", 2) and ("b", 2) not in written:
+                written.append(("b", 2))
+                raise OSError("down")
+            written.append((table, batch, df.count()))
+
+    sink = Ledger(Store(), str(tmp_path / "notes"))
+    sink.write(spark.range(3), "a", 2)
+    with pytest.raises(OSError, match="down"):
+        sink.write(spark.range(4), "b", 2)
+    for table, n in (("a", 3), ("b", 4)):
+        sink.write(spark.range(n), table, 2)
+    sink.write(spark.range(5), "a", 3)
+    assert written == [("a", 2, 3), ("b", 2), ("b", 2, 4), ("a", 3, 5)]
+
+
+def test_storable_columns(spark):
+    df = spark.sql("SELECT 1 AS n, parse_json('{\"a\": 1}') AS v, array(parse_json('2')) AS vs, named_struct('x', 1) AS s, map('k', array(1)) AS `odd.name`")
+    flat, deep = storable(df, nested=False), storable(df, nested=True)
+    assert [tuple(r) for r in flat.collect()] == [(1, '{"a":1}', "[2]", '{"x":1}', '{"k":[1]}')]
+    assert deep.schema["s"].dataType == df.schema["s"].dataType and deep.schema["odd.name"].dataType == df.schema["odd.name"].dataType
+    assert deep.schema["v"].dataType == deep.schema["vs"].dataType == T.StringType()
+
+
 def test_graph_tables(spark, tmp_path):
     raw = ['{"id": 1, "label": "KNOWS", "source": 4, "target": 5, "properties": {"since": "2001"}}', '{"id": 2, "label": "KNOWS", "source": 4}', '"no edge"']
     df = spark.createDataFrame([(x,) for x in raw], "raw string").select(M.edge(F.parse_json("raw")).alias("value"))
