@@ -38,25 +38,36 @@ def load_class(per_second: Column) -> Column:
 
 
 class Metrics(StreamingQueryListener):
-    """Keeps totals of all queries of a session and hands each report on as a JSON line."""
+    """Keeps totals of all queries of a session and hands each report on as a JSON line, at most one in ``every`` seconds for
+    each query. A query that lies more than ``deep`` records behind its source reports at once, marked as ``deep``."""
 
-    def __init__(self, send=None, every: float = 20.0):
-        self.send, self.every = send, every
-        self.rows, self.alive, self._last = Counter(), {}, 0.0
+    def __init__(self, send=None, every: float = 20.0, deep: int = 10_000):
+        self.send, self.every, self.deep = send, every, deep
+        self.rows, self.behind, self.alive, self._last = Counter(), {}, {}, {}
+
+    def silent(self, seconds: float, now: float | None = None) -> list[str]:
+        """Queries that run but were not heard of for so long."""
+        now = time.time() if now is None else now
+        return sorted(q for q, at in self.alive.items() if now - at > seconds)
 
     def onQueryStarted(self, event):
         self.alive[str(event.id)] = time.time()
 
     def onQueryProgress(self, event):
-        p = event.progress
-        self.rows[str(p.id)] += p.numInputRows
-        self.alive[str(p.id)] = time.time()
-        if self.send and time.time() - self._last >= self.every:
-            self._last = time.time()
-            self.send(json.dumps({"query": str(p.id), "batch": p.batchId, "rows": self.rows[str(p.id)], "per_second": round(p.processedRowsPerSecond or 0, 3)}))
+        p, now = event.progress, time.time()
+        query = str(p.id)
+        self.rows[query] += p.numInputRows
+        self.alive[query] = now
+        # brokers tell how far their worst partition is behind; other sources don't
+        self.behind[query] = sum(int(float((s.metrics or {}).get("maxOffsetsBehindLatest", 0))) for s in p.sources)
+        deep = self.behind[query] > self.deep
+        if self.send and (deep or now - self._last.get(query, 0.0) >= self.every):
+            self._last[query] = now
+            self.send(json.dumps({"query": query, "batch": p.batchId, "rows": self.rows[query], "per_second": round(p.processedRowsPerSecond or 0, 3), "behind": self.behind[query], "deep": deep}))
 
     def onQueryIdle(self, event):
         self.alive[str(event.id)] = time.time()
 
     def onQueryTerminated(self, event):
-        self.alive.pop(str(event.id), None)
+        for kept in (self.alive, self.behind, self._last):
+            kept.pop(str(event.id), None)

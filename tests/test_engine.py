@@ -3,6 +3,7 @@ import json
 import socket
 import threading
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -344,3 +345,18 @@ def test_sources_and_metrics_through_streams(spark, tmp_path):
         assert {"query", "batch", "rows", "per_second"} <= set(json.loads(sent[-1])) and sum(metrics.rows.values()) > 0
     finally:
         spark.streams.removeListener(metrics)
+
+
+def test_reports_by_query_and_depth():
+    def progress(query, behind=None, rows=10):
+        source = SimpleNamespace(metrics=None if behind is None else {"maxOffsetsBehindLatest": str(behind)})
+        return SimpleNamespace(progress=SimpleNamespace(id=query, batchId=1, numInputRows=rows, processedRowsPerSecond=2.5, sources=[source]))
+
+    sent = []
+    metrics = Metrics(lambda line: sent.append(json.loads(line)), every=60.0, deep=100)
+    for query, behind in (("a", 7), ("a", 100), ("b", None), ("a", 101), ("b", None)):
+        metrics.onQueryProgress(progress(query, behind))
+    assert [(r["query"], r["rows"], r["behind"], r["deep"]) for r in sent] == [("a", 10, 7, False), ("b", 10, 0, False), ("a", 30, 101, True)]
+    assert metrics.silent(5.0) == [] and metrics.silent(5.0, time.time() + 6) == ["a", "b"]
+    metrics.onQueryTerminated(SimpleNamespace(id="a"))
+    assert metrics.silent(5.0, time.time() + 6) == ["b"] and metrics.rows["a"] == 30
