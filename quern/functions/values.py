@@ -368,10 +368,10 @@ def add_assign(a: TypedColumn) -> TypedColumn:
         return TypedColumn(F.flatten(F.sort_array(F.collect_list(a.col))), a.kind)
     if isinstance(a.kind, T.MapType):
         # of a key that several hold the largest value stays, whatever the order of arrival
-        entries = F.flatten(F.collect_list(F.map_entries(a.col)))
-        sorted_ = F.array_sort(entries)
-        last = F.filter(sorted_, lambda e, i: F.coalesce(F.get(sorted_, i + 1)["key"] != e["key"], F.lit(True)))
-        return TypedColumn(F.map_from_entries(last), a.kind)
+        # bound to s, the entries are sorted once; an expression inside a lambda is computed anew for each element
+        entries = F.sort_array(F.flatten(F.collect_list(F.map_entries(a.col))))
+        last = F.transform(F.array(entries), lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["key"] != e["key"], F.lit(True))))
+        return TypedColumn(F.map_from_entries(F.get(last, F.lit(0))), a.kind)
     if isinstance(a.kind, T.DateType):
         return TypedColumn(F.date_from_unix_date(F.sum(F.unix_date(a.col)).cast("int")), a.kind)
     if a.is_time and not a.is_exact_time:
@@ -379,6 +379,14 @@ def add_assign(a: TypedColumn) -> TypedColumn:
     _fail("+=", a)
 
 
+def largest_entries(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """A dictionary for each group and key, with the largest value: add_assign gives the same of these, and no group has to be in one place before."""
+    key = f"{name} key"
+    entries = df.select(*by, F.explode_outer(F.map_entries(name)).alias(name))
+    largest = entries.groupBy(*by, F.col(name)["key"].alias(key)).agg(F.max(F.col(name)["value"]).alias(name))
+    return largest.select(*by, F.when(F.col(key).isNotNull(), F.create_map(key, name)).alias(name))
+
+
 #: Operators by the name that plans use; those of two operands first.
 BINARY = {"+": add, "-": minus, "*": multiply, "/": divide, "=": equal, ">": gt, "index": index}
 UNARY = {"length": length, "elements": elements, "as_int": as_int, "as_float": as_float, "as_bool": as_bool, "as_text": as_text, "as_time": as_time, "as_date": as_date}

@@ -98,6 +98,27 @@ def test_accumulation_by_type(spark):
     assert df.agg(F.unix_seconds(V.add_assign(typed(df, "s")).col)).first()[0] == 3
 
 
+def test_a_large_group_of_dictionaries_accumulates_in_time(spark):
+    df = spark.range(12_000).selectExpr("map('k' || id % 9, id) AS m")
+    limit = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # sorting the group again for each of its entries takes minutes
+    limit.start()
+    try:
+        got = df.agg(V.add_assign(typed(df, "m")).col.alias("m")).first()["m"]
+    finally:
+        limit.cancel()
+    assert got == {f"k{k}": max(i for i in range(12_000) if i % 9 == k) for k in range(9)}
+
+
+def test_largest_entries_accumulate_to_the_same(spark):
+    m = "CASE WHEN id % 4 = 0 THEN map('k' || id % 7, if(id % 3 = 0, null, double(id % 11)), 'z', if(id % 5 = 0, double('NaN'), null)) WHEN g = 1 THEN null WHEN id % 4 = 1 THEN map() ELSE map('z', 1.5D) END"
+    df = spark.range(0, 400, 1, 5).selectExpr("id", "if(id % 4 = 3, 1, if(id % 4 = 1, null, id % 3 + 2)) AS g").selectExpr("g", f"{m} AS m")
+    total = lambda x: {r["g"]: str(r["m"]) for r in x.groupBy("g").agg(V.add_assign(typed(x, "m")).col.alias("m")).collect()}
+    few = V.largest_entries(df, ["g"], "m")
+    want = total(df)
+    assert few.columns == ["g", "m"] and total(few) == want and want[1] == want[None] == "{}" and len(want) == 5
+    assert few.count() == 2 + 3 * 8  # a row for each group and key, one for a group without keys
+
+
 @pytest.mark.parametrize("value, want", [(4, True), (-4, False), (0.0, False), ("\ttrue", False), (" True ", True), ("1", True), ("on", False), (None, False), (False, False)])
 def test_truthiness(spark, value, want):
     assert one(spark, V.as_bool, literal(value)) is want
